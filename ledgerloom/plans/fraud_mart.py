@@ -6,10 +6,10 @@ entity; frequency windows over (card, mcc) and (card, merchant) reuse the card e
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import epoch_seconds, flag, part, ratio
+from ledgerloom.functions.scalars import epoch_seconds, exact_mean, flag, part, ratio
 from ledgerloom.operators.enrich import home_state, home_zip, with_category
 from ledgerloom.operators.windows import BLOCK_ROWS, ENTITY_ROWS, Earlier, History, Rows, Span, add_features, heavy_entities
 
@@ -107,7 +107,9 @@ def base_features(transactions: DataFrame, mcc: DataFrame, cards: DataFrame, use
 
 
 CLIENT_FEATURES = (
-    Rows("client_avg_amount_last50", "avg", AMOUNT, 50),
+    # the mean comes from an exact decimal sum, so it does not depend on summation order
+    Rows("_sum_last50", "sum", "abs_amount", 50),
+    Rows("_n_last50", "count", "abs_amount", 50),
     Rows("client_std_amount_last50", "stddev", AMOUNT, 50),
     History("client_max_amount_hist", "max", AMOUNT),
     Rows("client_avg_hour_last50", "avg", "txn_hour", 50),
@@ -143,6 +145,8 @@ def client_p90() -> Column:
 
 def with_client_windows(df: DataFrame, heavy: DataFrame | None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     wide = add_features(df, "client_id", CLIENT_FEATURES, heavy, block_rows=block_rows)
+    mean = exact_mean(F.col("_sum_last50"), F.col("_n_last50"))
+    wide = wide.withColumn("client_avg_amount_last50", mean).drop("_sum_last50", "_n_last50")
     return wide.withColumn("client_p90_amount_last50", client_p90())
 
 
@@ -271,3 +275,33 @@ def distinct_features(transactions: DataFrame, cap: int = ENTITY_ROWS) -> DataFr
         [Span("client_distinct_cards_24h_exact", "distinct", "card_id", DAY)],
         heavy_entities(transactions, "client_id", cap),
     )
+
+
+def home_state_so_far(transactions: DataFrame) -> DataFrame:
+    """Home state from strictly earlier days only, and whether the row lies outside it.
+
+    Rows are counted per client, state and day first. A state's count only grows, so the
+    leader up to a day is the largest count reached by any state on any day so far: a
+    running minimum of (-count, state). Every window holds one client's days at most.
+    """
+    day = F.to_date("transaction_date")
+    has_state = F.col("merchant_state").isNotNull() & (F.col("merchant_state") != "")
+    daily = transactions.groupBy("client_id", day.alias("day"), "merchant_state").agg(F.count_if(has_state).alias("n"))
+    by_state = Window.partitionBy("client_id", "merchant_state").orderBy("day")
+    reached = F.sum("n").over(by_state.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = daily.withColumn("reached", reached)
+    best = F.min(F.when(F.col("n") > 0, F.struct(-F.col("reached"), F.col("merchant_state").alias("state"))))
+    earlier_days = Window.partitionBy("client_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    homes = (
+        counted.groupBy("client_id", "day")
+        .agg(best.alias("best"))
+        .select("client_id", "day", F.min("best").over(earlier_days)["state"].alias("home_state_so_far"))
+    )
+    rows = transactions.select("transaction_id", "client_id", day.alias("day"), "merchant_state")
+    home = F.col("home_state_so_far")
+    return rows.join(homes, ["client_id", "day"], "left").select(
+        "transaction_id",
+        "client_id",
+        "home_state_so_far",
+        flag(home.isNotNull() & (F.col("merchant_state") != home)).alias("is_out_of_home_so_far"),
+    )
