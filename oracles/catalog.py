@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import relational, series
+from oracles import analytics, relational, series
 
-SQL: dict[str, str] = {**relational.SQL, **series.SQL}
+SQL: dict[str, str] = {**relational.SQL, **series.SQL, **analytics.SQL}
