@@ -7,16 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.periods import period_of, period_of_reply
-from ledgerloom.functions.scalars import sigmoid
 from ledgerloom.operators import encoding, enrich, evaluate, quality, staging
-from ledgerloom.operators.windows import add_features, heavy_entities
-from ledgerloom.plans import explore, fraud_mart, monthly, questions, summaries
-from ledgerloom.sources import readers, schemas, sinks
-from ledgerloom.session import scratch_path
+from ledgerloom.operators.quantiles import exact_quantiles
+from ledgerloom.operators.windows import heavy_entities
+from ledgerloom.plans import explore, fraud_mart, models, monthly, questions, summaries
+from ledgerloom.session import scratch_path, stage
+from ledgerloom.sources import given_tables, readers, sinks
+from ledgerloom.streaming.landing import decode, start_landing, with_reasons
+from ledgerloom.streaming.refresh import LANDED, VELOCITY_COLUMNS, refresh, start_refresh, start_scoring
+from ledgerloom.streaming.replay import replay_statuses
 from ledgerloom.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -876,5 +880,252 @@ def focal_loss(t: Tables) -> DataFrame:
     return t.scored().agg(evaluate.focal_loss(F.col("label"), F.col("raw")).alias("focal_loss"), F.count(F.lit(1)).alias("n"))
 
 
+# --- ingestion and streaming --------------------------------------------------------------
+
+
+def _raw_messages(events: DataFrame) -> DataFrame:
+    """Transactions as received text; some client and card numbers do not parse."""
+    landing = given_tables.landing_of(events)
+    event, text = F.col("id"), "string"
+    return landing.select(
+        event.cast(text).alias("id"),
+        F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"),
+        F.when(event % 41 == 0, "x7").otherwise(F.col("client_id").cast(text)).alias("client_id"),
+        F.when(event % 67 == 5, "").otherwise(F.col("card_id").cast(text)).alias("card_id"),
+        "amount",
+        "use_chip",
+        F.col("merchant_id").cast(text).alias("merchant_id"),
+        "merchant_city",
+        "merchant_state",
+        F.coalesce("zip", F.lit("")).alias("zip"),
+        F.col("mcc").cast(text).alias("mcc"),
+        F.coalesce("errors", F.lit("")).alias("errors"),
+    )
+
+
+def _message_stream(t: Tables) -> DataFrame:
+    """The events file as a stream of messages, every tenth delivered twice."""
+    events = (
+        t.spark.readStream.schema(given_tables.SCHEMAS["events"])
+        .option("pathGlobFilter", "events.parquet")
+        .parquet(t.folder)
+    )
+    copies = F.when(F.col("event_id") % 10 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return _raw_messages(events.withColumn("copy", F.explode(copies)).drop("copy"))
+
+
+def _land_everything(t: Tables) -> tuple[str, str]:
+    base = scratch_path(t.spark, "stream")
+    landing, quarantine = f"{base}/landing", f"{base}/quarantine"
+    start_landing(_message_stream(t), landing, quarantine, f"{base}/checkpoint").awaitTermination()
+    return landing, quarantine
+
+
+@query
+def stream_decode(t: Tables) -> DataFrame:
+    raw = _raw_messages(t.given("events"))
+    payloads = raw.select(F.base64(F.to_json(F.struct(*raw.columns)).cast("binary")).alias("data"))
+    rows = decode(payloads)
+    return rows.withColumns({c: F.col(c).cast("double") for c in ("client_id", "card_id")})
+
+
+@query
+def stream_landing(t: Tables) -> DataFrame:
+    landing, _ = _land_everything(t)
+    return t.spark.read.schema(LANDED).parquet(landing)
+
+
+@query
+def stream_quarantine(t: Tables) -> DataFrame:
+    _, quarantine = _land_everything(t)
+    rows = t.spark.read.parquet(quarantine)
+    return rows.select("id", "date", "client_id", "card_id", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+@query
+def replay_chunk(t: Tables) -> DataFrame:
+    return replay_statuses(_raw_messages(t.given("events")), days=7)
+
+
+@query
+def replay_malformed_split(t: Tables) -> DataFrame:
+    checked = with_reasons(_raw_messages(t.given("events")))
+    return (
+        checked.groupBy(F.concat_ws(",", "reasons").alias("reasons"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    )
+
+
+@query
+def incremental_mart(t: Tables) -> DataFrame:
+    """Velocity features refreshed in three steps: first the last ten days, then the rest in two parts."""
+    base = scratch_path(t.spark, "incremental")
+    landing, features = f"{base}/landing", f"{base}/features"
+    rows = t.landing.withColumn("day", F.to_date("date"))
+    parts = [rows.filter("dayofmonth(day) > 20"), rows.filter("dayofmonth(day) <= 10"), rows.filter("dayofmonth(day) between 11 and 20")]
+    for part in parts:
+        part.write.mode("append").partitionBy("day").parquet(landing)
+        span = part.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+        if span.first is not None:
+            refresh(t.spark, landing, features, span.first, span.last)
+    return t.spark.read.parquet(features).select("transaction_id", "card_id", *VELOCITY_COLUMNS)
+
+
+@query
+def stream_features(t: Tables) -> DataFrame:
+    """Velocity features kept current by the landing stream."""
+    base = scratch_path(t.spark, "stream-features")
+    features = f"{base}/features"
+    start_refresh(
+        _message_stream(t), f"{base}/landing", f"{base}/quarantine", features, f"{base}/checkpoint"
+    ).awaitTermination()
+    return t.spark.read.parquet(features).select("transaction_id", "card_id", *VELOCITY_COLUMNS)
+
+
+# --- models -------------------------------------------------------------------------------
+
+# settings of the registered model queries: few rounds, all rows
+QUICK = {"rounds": 5, "rate": 0.3, "leaf_rows": 50, "patience": 5}
+
+
+def _quick_gbt(target: str):
+    return models.gbt(target, rounds=4, rate=0.3)
+
+
+def _quick_tree(target: str):
+    return DecisionTreeRegressor(featuresCol="features", labelCol=target, maxDepth=5, minInstancesPerNode=30, seed=42)
+
+
+@query
+def prepare_features(t: Tables) -> DataFrame:
+    rows = models.prepare_features(t.mart())
+    return rows.select("transaction_id", "card_has_chip", *[F.col(c).cast("double").alias(c) for c in models.FILL_ZERO])
+
+
+def _valid_requests(t: Tables) -> DataFrame:
+    return quality.checked_requests(_raw_requests(t)).filter(F.size("reasons") == 0)
+
+
+@query
+def score_padding(t: Tables) -> DataFrame:
+    """Request features in model order, absent ones 0, encodings learnt on the labelled rows."""
+    rows = models.request_features(_valid_requests(t))
+    train = t.labelled.withColumnRenamed("is_fraud", "label")
+    rows = models.with_encodings(rows, train, TIME_ORDER, False).drop(*models.ENCODED)
+    return models.padded(rows, models.FRAUD_FEATURES)
+
+
+def _training_rows(t: Tables) -> DataFrame:
+    return stage(models.training_rows(t.mart(), t.labels, TIME_ORDER), "training")
+
+
+@query
+def fraud_model(t: Tables) -> DataFrame:
+    """Validation scores of a focal model."""
+    rows = _training_rows(t)
+    model = models.fit_focal(rows, **QUICK)
+    scored = model.score(rows.filter("split = 'val'"), evaluate.OPERATING_POINTS["F1-optimal"])
+    return scored.select("transaction_id", "label", "raw", "probability", "predicted", "threshold")
+
+
+@query
+def feature_importance(t: Tables) -> DataFrame:
+    model = models.fit_focal(_training_rows(t), **QUICK)
+    top = [(rank, name, gain) for rank, (name, gain) in enumerate(model.importance()[:20], 1)]
+    return t.spark.createDataFrame(top, "rank int, feature string, importance double")
+
+
+@query
+def score_requests(t: Tables) -> DataFrame:
+    """Scoring requests answered by a focal model at the serving threshold."""
+    train = t.labelled.withColumnRenamed("is_fraud", "label")
+    model = models.fit_focal(_training_rows(t), **QUICK)
+    rows = models.with_encodings(models.request_features(_valid_requests(t)), train, TIME_ORDER, False)
+    scored = model.score(models.padded(rows, models.FRAUD_FEATURES))
+    return scored.select("transaction_id", (F.col("predicted") == 1).alias("is_fraud"), "probability", "threshold")
+
+
+@query
+def stream_score(t: Tables) -> DataFrame:
+    """The same requests arriving as a stream."""
+    base = scratch_path(t.spark, "stream-score")
+    _raw_requests(t).write.parquet(f"{base}/requests")
+    train = t.labelled.withColumnRenamed("is_fraud", "label")
+    model = models.fit_focal(_training_rows(t), **QUICK)
+    tables = [stage(encoding.encoding_table(train, c, "label"), "encoding") for c in models.ENCODED]
+    mean = train.agg(F.avg("label")).first()[0]
+
+    def score(batch: DataFrame) -> DataFrame:
+        rows = models.request_features(quality.checked_requests(batch).filter(F.size("reasons") == 0))
+        for column, table in zip(models.ENCODED, tables, strict=True):
+            rows = rows.join(table, column, "left").fillna({f"{column}_te": mean})
+        scored = model.score(models.padded(rows, models.FRAUD_FEATURES))
+        return scored.select("transaction_id", "probability", "predicted")
+
+    schema = t.spark.read.parquet(f"{base}/requests").schema
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/requests")
+    start_scoring(stream, score, f"{base}/scores", f"{base}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{base}/scores").drop("batch_id")
+
+
+@query
+def prediction_output(t: Tables) -> DataFrame:
+    """Yes or No for every transaction; only labelled ones are scored here, the rest get No."""
+    scored = t.scored().select("transaction_id", (F.col("score") >= 0.37).cast("int").alias("predicted"))
+    return sinks.fraud_predictions(t.transactions.select("transaction_id"), scored)
+
+
+@query
+def prediction_summary(t: Tables) -> DataFrame:
+    """Share of positive answers, and the spread of the baseline forecasts."""
+    answers = prediction_output(t)
+    positive = F.count_if(F.col("prediction") == "Yes")
+    latest = monthly.latest_features(t.forecast_features).select(F.lit("all").alias("part"), "rmean_12")
+    forecasts = exact_quantiles(latest, ["part"], "rmean_12", {"median_forecast": 0.5}).join(
+        latest.groupBy("part").agg(F.avg("rmean_12").alias("mean_forecast")), "part"
+    )
+    counts = answers.agg(
+        F.count(F.lit(1)).alias("n_predictions"),
+        positive.alias("n_positive"),
+        (positive / F.count(F.lit(1))).alias("positive_share"),
+    ).withColumn("part", F.lit("all"))
+    return counts.join(forecasts.withColumnRenamed("n", "n_forecasts"), "part").drop("part")
+
+
+@query
+def forecast_model(t: Tables) -> DataFrame:
+    """In-sample scores of the three horizon models."""
+    rows = models.trained_rows(t.monthly, t.users)
+    parts = []
+    for h, model in models.fit_horizons(rows, _quick_gbt).items():
+        target = f"target_h{h}"
+        fitted = model.transform(rows.filter(F.col(target).isNotNull()))
+        parts.append(fitted.select(F.lit(h).alias("horizon"), F.col(target).alias("actual"), "prediction"))
+    pooled = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return evaluate.regression_scores(pooled, ["horizon"], "actual", "prediction")
+
+
+def _targets(t: Tables) -> DataFrame:
+    """The three months after the data for every client, including clients without history."""
+    last = t.ledger.select(F.trunc(F.max("transaction_date"), "MM")).scalar()
+    return t.users.select(
+        "client_id", F.posexplode(F.array(*[F.date_format(F.add_months(last, h), "yyyy-MM") for h in monthly.HORIZONS]))
+    ).select("client_id", F.col("col").alias("month"), (F.col("pos") + 1).alias("horizon"))
+
+
+@query
+def forecast_batch(t: Tables) -> DataFrame:
+    rows = models.trained_rows(t.monthly, t.users)
+    fitted = models.fit_horizons(rows, _quick_gbt)
+    latest = monthly.latest_features(t.forecast_features)
+    return models.forecast_batch(_targets(t), latest, fitted)
+
+
+@query
+def walk_forward_scores(t: Tables) -> DataFrame:
+    rows = models.trained_rows(t.monthly, t.users)
+    return models.fold_means(models.walk_forward(rows, _quick_tree))
+
+
 def names() -> list[str]:
     return list(REGISTRY)

@@ -29,6 +29,10 @@ def _dollar_text(amount):
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
+    return landing_of(table(spark, folder, "events"))
+
+
+def landing_of(events: DataFrame) -> DataFrame:
     """Landed transactions from ``events``: second-level times, channels, errors."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     online = F.col("event_type").isin("click", "error")
@@ -47,8 +51,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         ]
     )
     return (
-        table(spark, folder, "events")
-        .withColumn("k", k)
+        events.withColumn("k", k)
         .select(
             F.col("event_id").alias("id"),
             F.col("ts").alias("date"),

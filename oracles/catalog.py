@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from oracles import analytics, relational, series
+from oracles import analytics, ingestion, modelling, relational, series
 
-SQL: dict[str, str] = {**relational.SQL, **series.SQL, **analytics.SQL}
+SQL: dict[str, str] = {**relational.SQL, **series.SQL, **analytics.SQL, **ingestion.SQL, **modelling.SQL}
