@@ -41,28 +41,24 @@ def smoothed(total: Column, count: Column, mean: Column) -> Column:
 
 
 def encode_out_of_fold(
-    df: DataFrame, column: str, label: str, order: Sequence[str], rows_per_slot: int = ROWS_PER_SLOT
+    df: DataFrame, columns: Sequence[str], label: str, order: Sequence[str], rows_per_slot: int = ROWS_PER_SLOT
 ) -> DataFrame:
-    """Add ``<column>_te``: the smoothed label mean of the value over the other folds.
+    """Add ``<column>_te`` for each column: the smoothed label mean of the value over the other folds.
 
     Sums per value and fold come from one aggregate; a value's other folds are its total
     minus its own fold. A value unseen elsewhere gets the overall mean.
     """
-    rows = df.count()
-    folded = with_order_position(df, order, "_position", rows_per_slot).withColumn(
-        "_fold", contiguous_fold(F.col("_position"), rows)
+    out = with_order_position(df, order, "_position", rows_per_slot).withColumn(
+        "_fold", contiguous_fold(F.col("_position"), df.count())
     )
-    per_fold = folded.groupBy(column, "_fold").agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
-    every_fold = Window.partitionBy(column)  # at most one row per fold
     mean = df.select(F.avg(label)).scalar()
-    encoded = per_fold.select(
-        column,
-        "_fold",
-        smoothed(
-            F.sum("_s").over(every_fold) - F.col("_s"), F.sum("_n").over(every_fold) - F.col("_n"), mean
-        ).alias(f"{column}_te"),
-    )
-    return null_safe_join(folded, encoded, [column, "_fold"], "left").drop("_fold", "_position")
+    for column in columns:
+        per_fold = out.groupBy(column, "_fold").agg(F.sum(label).alias("_s"), F.count(label).alias("_n"))
+        every_fold = Window.partitionBy(column)  # at most one row per fold
+        others = [F.sum(c).over(every_fold) - F.col(c) for c in ("_s", "_n")]
+        encoded = per_fold.select(column, "_fold", smoothed(*others, mean).alias(f"{column}_te"))
+        out = null_safe_join(out, encoded, [column, "_fold"], "left")
+    return out.drop("_fold", "_position")
 
 
 def encoding_table(train: DataFrame, column: str, label: str) -> DataFrame:

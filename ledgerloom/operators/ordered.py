@@ -17,6 +17,8 @@ from ledgerloom.session import stage
 
 SLOT = "_slot"
 ROWS_PER_SLOT = 1_000_000
+# a shuffle of more partitions costs more than larger, spilling slots
+MAX_SLOTS = 20_000
 
 _MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}
 _LOCAL = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
@@ -31,7 +33,7 @@ def place(df: DataFrame, order: Sequence[Column | str], rows_per_slot: int = ROW
     total = df.count()
     if total <= rows_per_slot:
         return df.withColumn(SLOT, F.lit(0))
-    slots = -(-total // rows_per_slot)
+    slots = min(-(-total // rows_per_slot), MAX_SLOTS)
     return stage(df.repartitionByRange(slots, *order).withColumn(SLOT, F.spark_partition_id()), "slots")
 
 

@@ -25,10 +25,9 @@ def exact_quantiles(
     counts = (
         df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = running(
-        place(counts, [*group, "_v"], rows_per_slot), ["_v"], {"_upto": ("sum", F.col("_n"))}, keys=group
-    )
-    sizes = counts.groupBy(*group).agg(F.sum("_n").alias("n"))
+    placed = place(counts, [*group, "_v"], rows_per_slot)
+    ranked = running(placed, ["_v"], {"_upto": ("sum", F.col("_n"))}, keys=group)
+    sizes = placed.groupBy(*group).agg(F.sum("_n").alias("n"))
     ranked = null_safe_join(ranked, sizes, group)
     around = []
     for name, q in quantiles.items():

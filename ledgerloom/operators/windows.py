@@ -28,6 +28,7 @@ from ledgerloom.session import stage
 # An entity above this many rows is cut. It bounds the quadratic cost of sliding frames.
 ENTITY_ROWS = 100_000
 BLOCK_ROWS = 50_000
+SLOT_BLOCKS = 20
 
 
 @dataclass(frozen=True)
@@ -99,6 +100,7 @@ def add_features(
     """
     if heavy is None:
         return _with_windows(df, entity, features, epoch, order)
+    df = stage(df, "entities")  # read several times below
     light = _with_windows(null_safe_join(df, heavy, [entity], "left_anti"), entity, features, epoch, order)
     cut = _with_cuts(null_safe_join(df, heavy, [entity], "left_semi"), entity, features, epoch, order, block_rows)
     return light.unionByName(cut)
@@ -145,7 +147,8 @@ def _with_cuts(df, entity, features, epoch, order, block_rows):
     if row_features or histories:
         reach = max([1] + [f.first for f in row_features if isinstance(f, Rows)])
         block_rows = max(block_rows, reach)
-        out = positions(df, [epoch, *order], [entity], rows_per_slot=block_rows).withColumn(
+        # the order is cut into slots of many blocks, then each entity into blocks of its own
+        out = positions(df, [epoch, *order], [entity], rows_per_slot=SLOT_BLOCKS * block_rows).withColumn(
             "_block", F.floor(F.col("_pos") / block_rows)
         )
         if row_features:

@@ -10,10 +10,13 @@ from ledgerloom.operators.enrich import most_frequent
 from ledgerloom.operators.ordered import ROWS_PER_SLOT
 from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.operators.staging import ERROR_FLAGS
+from ledgerloom.session import stage
 
 # fixed values: histogram clip and number of bins, drift bins
 CLIP = 500
 BINS = 50
+# up to this many groups their edges are broadcast
+FEW_GROUPS = 10_000
 
 
 def attach_labels(transactions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -30,10 +33,12 @@ def _rate() -> Column:
 
 
 def rate_by(rows: DataFrame, group: Column, name: str) -> DataFrame:
-    """Fraud rate, count and multiple of the overall rate per group."""
-    base = rows.select(F.avg("is_fraud")).scalar()
-    rates = rows.groupBy(group.alias(name)).agg(_rate().alias("fraud_rate"), F.count(F.lit(1)).alias("n"))
-    return rates.withColumn("multiplier", F.col("fraud_rate") / base)
+    """Fraud rate, count and multiple of the overall rate per group, from one pass over the rows."""
+    counts = rows.groupBy(group.alias(name)).agg(F.sum("is_fraud").alias("frauds"), F.count(F.lit(1)).alias("n"))
+    rate = F.col("frauds") / F.col("n")
+    everything = Window.partitionBy()  # one row per group
+    base = F.sum("frauds").over(everything) / F.sum("n").over(everything)
+    return counts.select(name, rate.alias("fraud_rate"), "n", (rate / base).alias("multiplier"))
 
 
 def error_rates(rows: DataFrame) -> DataFrame:
@@ -66,9 +71,11 @@ def amount_quantiles(rows: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> Dat
 def histogram(rows: DataFrame, group: str, value: Column, bins: int) -> DataFrame:
     """Equal-width bins from each group's minimum to its maximum, with counts and densities."""
     sized = rows.select(F.col(group), value.cast("double").alias("x"))
-    edges = sized.groupBy(group).agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("total")
+    edges = stage(
+        sized.groupBy(group).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("total")), "edges"
     )
+    # few groups would make few, huge join partitions; many are left to Spark's own choice
+    edges = F.broadcast(edges) if edges.count() <= FEW_GROUPS else edges
     width = F.col("hi") - F.col("lo")
     position = F.when(width > 0, F.floor((F.col("x") - F.col("lo")) * bins / width)).otherwise(F.lit(0))
     counted = (

@@ -60,11 +60,10 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
 
 def with_encodings(rows: DataFrame, train: DataFrame, order: Sequence[str], out_of_fold: bool) -> DataFrame:
     """Encoded columns, out of fold for training rows or from all of ``train`` for others."""
+    if out_of_fold:
+        return encoding.encode_out_of_fold(rows, ENCODED, "label", order)
     for column in ENCODED:
-        if out_of_fold:
-            rows = encoding.encode_out_of_fold(rows, column, "label", order)
-        else:
-            rows = encoding.apply_encoding(rows, train, column, "label")
+        rows = encoding.apply_encoding(rows, train, column, "label")
     return rows
 
 

@@ -795,7 +795,7 @@ TIME_ORDER = ["transaction_date", "transaction_id"]
 @query
 def target_encode_oof(t: Tables) -> DataFrame:
     rows = t.labelled.select("transaction_id", "transaction_date", "mcc", "merchant_id", "is_fraud")
-    encoded = encoding.encode_out_of_fold(rows, "mcc", "is_fraud", TIME_ORDER)
+    encoded = encoding.encode_out_of_fold(rows, ["mcc"], "is_fraud", TIME_ORDER)
     return encoded.select("transaction_id", "mcc", "mcc_te")
 
 
@@ -803,7 +803,7 @@ def target_encode_oof(t: Tables) -> DataFrame:
 def target_encode_oof_cut(t: Tables) -> DataFrame:
     """Out-of-fold encoding of the merchants with the row order cut into many slots."""
     rows = t.labelled.select("transaction_id", "transaction_date", "merchant_id", "is_fraud")
-    encoded = encoding.encode_out_of_fold(rows, "merchant_id", "is_fraud", TIME_ORDER, rows_per_slot=900)
+    encoded = encoding.encode_out_of_fold(rows, ["merchant_id"], "is_fraud", TIME_ORDER, rows_per_slot=900)
     return encoded.select("transaction_id", "merchant_id", "merchant_id_te")
 
 
