@@ -7,9 +7,11 @@ measured shuffle sizes, and otherwise splits skewed keys of a sort-merge join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.scalars import blank_to_null
+
 # fixed value: category of a transaction whose code is not in the lookup
 UNKNOWN_CATEGORY = "Unknown"
 
@@ -74,24 +76,37 @@ def client_transactions(enriched: DataFrame, users: DataFrame, cards: DataFrame)
     )
 
 
-def most_frequent(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
-    """Per key the most frequent value, the smaller value on a tie.
+def most_frequent(df: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """Per key the most frequent value of each named expression, the smaller value on a tie.
 
-    Counts combine map-side and the winner is an aggregate, so a key holding a large
-    share of the rows costs no more than its number of distinct values.
+    NULL is not counted. All expressions are counted in one scan; counts combine map-side
+    and the winner is an aggregate, so a key holding a large share of the rows costs no
+    more than its number of distinct values.
     """
-    return (
-        df.groupBy(key, value)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(key)
-        .agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(name))
+    seen = F.array(*[F.struct(F.lit(name).alias("_of"), value.alias("_value")) for name, value in values.items()])
+    counts = (
+        df.select(key, F.inline(seen))
+        .filter(F.col("_value").isNotNull())
+        .groupBy(key, "_of", "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    rank = F.struct(-F.col("_n"), F.col("_value"))
+    winners = [F.min_by("_value", F.when(F.col("_of") == name, rank)).alias(name) for name in values]
+    return counts.groupBy(key).agg(*winners)
+
+
+def known_state() -> Column:
+    return blank_to_null("merchant_state")
+
+
+def client_homes(transactions: DataFrame) -> DataFrame:
+    """(client_id, home_state, home_zip): NULL where the client never had one."""
+    return most_frequent(transactions, "client_id", {"home_state": known_state(), "home_zip": F.col("zip")})
 
 
 def home_state(transactions: DataFrame) -> DataFrame:
-    seen = transactions.filter(F.col("merchant_state").isNotNull() & (F.col("merchant_state") != ""))
-    return most_frequent(seen, "client_id", "merchant_state", "home_state")
+    return most_frequent(transactions, "client_id", {"home_state": known_state()})
 
 
 def home_zip(transactions: DataFrame) -> DataFrame:
-    return most_frequent(transactions.filter(F.col("zip").isNotNull()), "client_id", "zip", "home_zip")
+    return most_frequent(transactions, "client_id", {"home_zip": F.col("zip")})

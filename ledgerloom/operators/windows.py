@@ -26,7 +26,7 @@ from ledgerloom.operators.ordered import null_safe_join, positions, running
 from ledgerloom.session import stage
 
 # An entity above this many rows is cut. It bounds the quadratic cost of sliding frames.
-ENTITY_ROWS = 100_000
+ENTITY_ROWS = 20_000
 BLOCK_ROWS = 50_000
 SLOT_BLOCKS = 20
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import flag
-from ledgerloom.operators.enrich import most_frequent
+from ledgerloom.operators.enrich import home_state
 from ledgerloom.operators.ordered import ROWS_PER_SLOT
 from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.operators.staging import ERROR_FLAGS
@@ -112,8 +112,7 @@ def data_profile(rows: DataFrame) -> DataFrame:
 
 def out_of_state_rates(rows: DataFrame) -> DataFrame:
     """Rates of rows in and out of the client's usual state among labelled rows."""
-    seen = rows.filter(F.col("merchant_state").isNotNull() & (F.col("merchant_state") != ""))
-    homes = most_frequent(seen, "client_id", "merchant_state", "home_state")
+    homes = home_state(rows)
     away = F.coalesce(F.col("merchant_state") != F.col("home_state"), F.lit(False))
     return (
         rows.join(homes, "client_id", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import epoch_seconds, exact_mean, flag, part, ratio
-from ledgerloom.operators.enrich import home_state, home_zip, with_category
+from ledgerloom.operators.enrich import client_homes, with_category
 from ledgerloom.operators.windows import BLOCK_ROWS, ENTITY_ROWS, Earlier, History, Rows, Span, add_features, heavy_entities
 
 HOUR, DAY, WEEK = 3600, 86400, 604800
@@ -75,7 +75,7 @@ def user_columns(df: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def home_columns(df: DataFrame, states: DataFrame, zips: DataFrame) -> DataFrame:
+def home_columns(df: DataFrame, homes: DataFrame) -> DataFrame:
     """Distance from the client's usual state and zip, taken over all rows.
 
     An online row has a blank state, which differs from every home state, so it counts
@@ -84,8 +84,7 @@ def home_columns(df: DataFrame, states: DataFrame, zips: DataFrame) -> DataFrame
     state, zip_code = F.col("merchant_state"), F.col("zip")
     both = F.col("home_zip").isNotNull() & zip_code.isNotNull()
     return (
-        df.join(states, "client_id", "left")
-        .join(zips, "client_id", "left")
+        df.join(homes, "client_id", "left")
         .withColumns(
             {
                 "is_out_of_home_state": flag(F.col("home_state").isNotNull() & (state != F.col("home_state"))),
@@ -103,7 +102,7 @@ def base_features(transactions: DataFrame, mcc: DataFrame, cards: DataFrame, use
     """The single-row part of the mart, plus the zip for later use."""
     df = amount_columns(time_columns(with_category(transactions, mcc)))
     df = user_columns(card_columns(df, cards), users)
-    return home_columns(df, home_state(transactions), home_zip(transactions)).drop("errors", "zip")
+    return home_columns(df, client_homes(transactions)).drop("errors", "zip")
 
 
 CLIENT_FEATURES = (

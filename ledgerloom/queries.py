@@ -189,7 +189,7 @@ def client_home_zip(t: Tables) -> DataFrame:
 
 @query
 def home_state_features(t: Tables) -> DataFrame:
-    rows = fraud_mart.home_columns(t.transactions, enrich.home_state(t.transactions), enrich.home_zip(t.transactions))
+    rows = fraud_mart.home_columns(t.transactions, enrich.client_homes(t.transactions))
     return rows.select(
         "transaction_id", "client_id", "is_out_of_home_state", "is_different_zip", "zip_region_distance"
     )
@@ -688,7 +688,7 @@ def eda_out_of_state(t: Tables) -> DataFrame:
 
 @query
 def leak_check_zip(t: Tables) -> DataFrame:
-    rows = fraud_mart.home_columns(t.transactions, enrich.home_state(t.transactions), enrich.home_zip(t.transactions))
+    rows = fraud_mart.home_columns(t.transactions, enrich.client_homes(t.transactions))
     return explore.home_zip_rates(rows.join(t.labels, "transaction_id"))
 
 

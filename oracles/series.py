@@ -126,7 +126,7 @@ ee AS (
     ROUND(CAST(SUM(CASE WHEN amount<0 THEN amount ELSE 0 END) AS DOUBLE),2)+CAST(0 AS DOUBLE) AS expenses FROM rows GROUP BY 1),
 es AS (
   SELECT request_id, client_id, category_name AS expenses_type, ROUND(CAST(SUM(abs(amount)) AS DOUBLE),2) AS total_amount,
-    ROUND(CAST(SUM(abs(amount)) AS DOUBLE)/COUNT(*),2) AS average, CAST(abs(MAX(amount)) AS DOUBLE) AS max_amount,
+    CAST((2*CAST(SUM(abs(amount))*100 AS HUGEINT)+COUNT(*)) // (2*COUNT(*)) AS DOUBLE)/100 AS average, CAST(abs(MAX(amount)) AS DOUBLE) AS max_amount,
     CAST(abs(MIN(amount)) AS DOUBLE) AS min_amount, COUNT(*) AS num_transactions
   FROM rows JOIN mcc USING (mcc) WHERE amount<0 GROUP BY ALL),
 per AS (
