@@ -32,9 +32,9 @@ def _cumulative(scored: DataFrame, rows_per_slot: int) -> DataFrame:
         place(counts, [falling], rows_per_slot),
         [falling],
         {"tp": ("sum", F.col("pos")), "flagged": ("sum", F.col("n"))},
+        totals=True,
     )
-    total = scored.select(F.sum(F.col("label").cast("bigint"))).scalar()
-    return ranked.withColumn("total_pos", total)
+    return ranked.withColumnRenamed("tp_total", "total_pos").drop("flagged_total")
 
 
 def average_precision(scored: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:

@@ -27,12 +27,13 @@ _LOCAL = {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}
 def place(df: DataFrame, order: Sequence[Column | str], rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Add ``_slot``: rows of a lower slot precede rows of a higher one in the order.
 
-    A table that fits one slot (counted) stays lazy. A larger one is range-partitioned
-    and staged, since range bounds come from a sample and must not be drawn twice.
+    A table that fits one slot (counted) is returned as it is, lazy and without the column.
+    A larger one is range-partitioned and staged, since range bounds come from a sample and
+    must not be drawn twice.
     """
     total = df.count()
     if total <= rows_per_slot:
-        return df.withColumn(SLOT, F.lit(0))
+        return df
     slots = min(-(-total // rows_per_slot), MAX_SLOTS)
     return stage(df.repartitionByRange(slots, *order).withColumn(SLOT, F.spark_partition_id()), "slots")
 
@@ -51,25 +52,36 @@ def running(
     keys: Sequence[str] = (),
     inclusive: bool = True,
     slot: str = SLOT,
+    totals: bool = False,
 ) -> DataFrame:
     """Running aggregates in order, per key or over the whole table.
 
     measures: output name -> (sum | count | max | min, expression). Excluding the current
     row (``inclusive=False``) makes the first row NULL for sum, max and min, 0 for count.
+    ``totals`` adds ``<name>_total``, the aggregate over all rows of the key.
     """
-    totals = placed.groupBy(*keys, slot).agg(
+    last = Window.currentRow if inclusive else -1
+    up_to = Window.unboundedPreceding, last
+    if slot not in placed.columns:  # one slot
+        here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*up_to)
+        columns = {name: _LOCAL[how](e).over(here) for name, (how, e) in measures.items()}
+        if totals:
+            whole = Window.partitionBy(*keys)
+            columns |= {f"{name}_total": _LOCAL[how](e).over(whole) for name, (how, e) in measures.items()}
+        return placed.withColumns(columns)
+    # one row per slot and key: at most (rows / rows_per_slot) rows for any key
+    parts = placed.groupBy(*keys, slot).agg(
         *[_LOCAL[how](expression).alias(f"_t_{name}") for name, (how, expression) in measures.items()]
     )
-    # one row per slot and key: at most (rows / rows_per_slot) rows for any key
     earlier = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys,
-        slot,
-        *[_MERGE[how](f"_t_{name}").over(earlier).alias(f"_o_{name}") for name, (how, _) in measures.items()],
-    )
-    last = Window.currentRow if inclusive else -1
-    local = Window.partitionBy(*keys, slot).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    joined = null_safe_join(placed, offsets, [*keys, slot], "left")
+    offsets = [_MERGE[how](f"_t_{name}").over(earlier).alias(f"_o_{name}") for name, (how, _) in measures.items()]
+    if totals:
+        whole = Window.partitionBy(*keys)
+        offsets += [
+            _MERGE[how](f"_t_{name}").over(whole).alias(f"{name}_total") for name, (how, _) in measures.items()
+        ]
+    local = Window.partitionBy(*keys, slot).orderBy(*order).rowsBetween(*up_to)
+    joined = null_safe_join(placed, parts.select(*keys, slot, *offsets), [*keys, slot], "left")
     combined = joined.withColumns(
         {name: _combine(how, F.col(f"_o_{name}"), _LOCAL[how](e).over(local)) for name, (how, e) in measures.items()}
     )

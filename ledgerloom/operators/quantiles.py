@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators.ordered import ROWS_PER_SLOT, null_safe_join, place, running
+from ledgerloom.operators.ordered import ROWS_PER_SLOT, place, running
 
 
 def exact_quantiles(
@@ -26,9 +26,8 @@ def exact_quantiles(
         df.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     )
     placed = place(counts, [*group, "_v"], rows_per_slot)
-    ranked = running(placed, ["_v"], {"_upto": ("sum", F.col("_n"))}, keys=group)
-    sizes = placed.groupBy(*group).agg(F.sum("_n").alias("n"))
-    ranked = null_safe_join(ranked, sizes, group)
+    ranked = running(placed, ["_v"], {"_upto": ("sum", F.col("_n"))}, keys=group, totals=True)
+    ranked = ranked.withColumnRenamed("_upto_total", "n")
     around = []
     for name, q in quantiles.items():
         at = (F.col("n") - 1) * F.lit(float(q))

@@ -677,8 +677,9 @@ def score_histogram(t: Tables) -> DataFrame:
 
 @query
 def residual_histogram(t: Tables) -> DataFrame:
-    rows = t.forecast_features.filter(F.col("lag_12").isNotNull()).withColumn("horizon", F.lit(1))
-    return explore.histogram(rows, "horizon", F.round(F.col("rmean_12") - F.col("total_expenses"), 4), 80)
+    """Residuals of the twelve-month mean, per quarter of the year."""
+    rows = t.forecast_features.filter(F.col("lag_12").isNotNull()).withColumn("quarter", F.quarter("expense_month"))
+    return explore.histogram(rows, "quarter", F.round(F.col("rmean_12") - F.col("total_expenses"), 4), 80)
 
 
 @query
@@ -1081,15 +1082,18 @@ def prediction_summary(t: Tables) -> DataFrame:
     answers = prediction_output(t)
     positive = F.count_if(F.col("prediction") == "Yes")
     latest = monthly.latest_features(t.forecast_features).select(F.lit("all").alias("part"), "rmean_12")
-    forecasts = exact_quantiles(latest, ["part"], "rmean_12", {"median_forecast": 0.5}).join(
-        latest.groupBy("part").agg(F.avg("rmean_12").alias("mean_forecast")), "part"
-    )
-    counts = answers.agg(
+    middle = exact_quantiles(latest, ["part"], "rmean_12", {"median": 0.5})
+    return answers.agg(
         F.count(F.lit(1)).alias("n_predictions"),
         positive.alias("n_positive"),
         (positive / F.count(F.lit(1))).alias("positive_share"),
-    ).withColumn("part", F.lit("all"))
-    return counts.join(forecasts.withColumnRenamed("n", "n_forecasts"), "part").drop("part")
+    ).withColumns(
+        {
+            "n_forecasts": middle.select("n").scalar(),
+            "median_forecast": middle.select("median").scalar(),
+            "mean_forecast": latest.select(F.avg("rmean_12")).scalar(),
+        }
+    )
 
 
 @query

@@ -48,8 +48,8 @@ SELECT g AS {group.split()[-1]}, bin, ROUND(lo+bin*(hi-lo)/{bins},6)+{ZERO} AS b
 SQL["eda_amount_histogram"] = histogram("labelled", "is_fraud", "LEAST(abs(amount), 500)", 50, LABELLED)
 SQL["score_histogram"] = histogram("scored", "label", "score", 100, SCORED)
 SQL["residual_histogram"] = histogram(
-    "res", "horizon", "ROUND(rmean_12-total_expenses,4)", 80,
-    FEATURES + ", res AS (SELECT *, CAST(1 AS INTEGER) AS horizon FROM feats WHERE lag_12 IS NOT NULL)")
+    "res", "quarter", "ROUND(rmean_12-total_expenses,4)", 80,
+    FEATURES + ", res AS (SELECT *, CAST(quarter(expense_month) AS INTEGER) AS quarter FROM feats WHERE lag_12 IS NOT NULL)")
 SQL["eda_out_of_state"] = query(LABELLED, f"""
 , home AS (SELECT client_id, merchant_state AS home_state FROM labelled WHERE merchant_state <> '' GROUP BY 1,2
   QUALIFY ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY COUNT(*) DESC, merchant_state)=1)
