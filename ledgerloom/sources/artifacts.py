@@ -54,7 +54,7 @@ def artifact_status(spark: SparkSession, path: str) -> DataFrame:
         "forecast_h1": "forecast_h1/data",
         "forecast_h2": "forecast_h2/data",
         "forecast_h3": "forecast_h3/data",
-        "target_encodings": "target_encodings",
+        "target_encodings": "target_encodings/overall",
         "client_features": "client_features",
     }
     rows = []
