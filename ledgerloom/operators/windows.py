@@ -114,25 +114,33 @@ def _row_window(entity: str, order: Sequence[str], epoch: str, within: Sequence[
     return Window.partitionBy(entity, *within).orderBy(epoch, *order)
 
 
+def _window_column(feature: Feature, entity, epoch, order):
+    if isinstance(feature, Earlier):
+        return F.lag(F.expr(feature.value)).over(_row_window(entity, order, epoch))
+    if isinstance(feature, Rows):
+        frame = _row_window(entity, order, epoch).rowsBetween(-feature.first, -feature.last)
+        return _AGGREGATES[feature.how](F.expr(feature.value)).over(frame)
+    if isinstance(feature, History):
+        frame = _row_window(entity, order, epoch, feature.within).rowsBetween(Window.unboundedPreceding, -1)
+        return _AGGREGATES[feature.how](F.expr(feature.value)).over(frame)
+    frame = Window.partitionBy(entity).orderBy(epoch).rangeBetween(-feature.start, -feature.end)
+    if feature.how == "distinct":
+        return F.size(F.collect_set(F.expr(feature.value)).over(frame)).cast("bigint")
+    return _AGGREGATES[feature.how](F.expr(feature.value)).over(frame)
+
+
+def _sort_rank(feature: Feature) -> int:
+    """Row windows first: spans reuse their longer sort. Finer partitions last: they sort anew."""
+    if isinstance(feature, Span):
+        return 1
+    return 2 if isinstance(feature, History) and feature.within else 0
+
+
 def _with_windows(df, entity, features, epoch, order):
-    columns = {}
-    # row windows first: their longer sort also serves the span windows
-    for feature in sorted(features, key=lambda f: isinstance(f, Span)):
-        if isinstance(feature, Earlier):
-            columns[feature.name] = F.lag(F.expr(feature.value)).over(_row_window(entity, order, epoch))
-        elif isinstance(feature, Rows):
-            frame = _row_window(entity, order, epoch).rowsBetween(-feature.first, -feature.last)
-            columns[feature.name] = _AGGREGATES[feature.how](F.expr(feature.value)).over(frame)
-        elif isinstance(feature, History):
-            frame = _row_window(entity, order, epoch, feature.within).rowsBetween(Window.unboundedPreceding, -1)
-            columns[feature.name] = _AGGREGATES[feature.how](F.expr(feature.value)).over(frame)
-        else:
-            frame = Window.partitionBy(entity).orderBy(epoch).rangeBetween(-feature.start, -feature.end)
-            if feature.how == "distinct":
-                columns[feature.name] = F.size(F.collect_set(F.expr(feature.value)).over(frame)).cast("bigint")
-            else:
-                columns[feature.name] = _AGGREGATES[feature.how](F.expr(feature.value)).over(frame)
-    wide = df.withColumns(columns)
+    wide = df
+    for rank in (0, 1, 2):
+        columns = {f.name: _window_column(f, entity, epoch, order) for f in features if _sort_rank(f) == rank}
+        wide = wide.withColumns(columns) if columns else wide
     return wide.select(*df.columns, *[f.name for f in features])
 
 

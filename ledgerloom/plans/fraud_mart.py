@@ -118,8 +118,6 @@ CARD_FEATURES = (
     Earlier("_prev_epoch", "txn_epoch"),
     Earlier("_prev_chip", "use_chip"),
     Earlier("prev_txn_amount", AMOUNT),
-    History("card_mcc_freq", "count", "1", ("mcc",)),
-    History("card_merchant_freq", "count", "1", ("merchant_id",)),
     Span("_n_1h", "count", "1", HOUR),
     Span("_n_24h", "count", "1", DAY),
     Span("_n_7d", "count", "1", WEEK),
@@ -128,10 +126,13 @@ CARD_FEATURES = (
     Span("_sum_prior", "sum", "abs_amount", 2 * DAY, DAY),
 )
 
-GAP_FEATURES = (
+GAP_AND_FREQUENCY_FEATURES = (
     Rows("card_avg_gap_last20", "avg", "seconds_since_last_txn", 20),
     Rows("card_std_gap_last20", "stddev", "seconds_since_last_txn", 20),
     Span("min_gap_24h", "min", "seconds_since_last_txn", DAY),
+    # last, since their windows need sorts of their own
+    History("card_mcc_freq", "count", "1", ("mcc",)),
+    History("card_merchant_freq", "count", "1", ("merchant_id",)),
 )
 
 
@@ -177,7 +178,7 @@ def with_card_windows(df: DataFrame, heavy: DataFrame | None, block_rows: int =
             "card_distinct_merchants_1h": F.col("card_txn_count_1h"),
         }
     )
-    return add_features(wide, "card_id", GAP_FEATURES, heavy, block_rows=block_rows)
+    return add_features(wide, "card_id", GAP_AND_FREQUENCY_FEATURES, heavy, block_rows=block_rows)
 
 
 def zscore(value, mean, deviation):
