@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -111,7 +111,7 @@ def start_landing(
     )
 
 
-def purge_quarantine(spark, quarantine: str, keep_days: int = 7) -> DataFrame:
-    """The quarantine rows still within their retention."""
-    rows = spark.read.parquet(quarantine)
+def kept_quarantine(spark: SparkSession, quarantine: str, keep_days: int = 7) -> DataFrame:
+    """The quarantine rows still within their retention; only partitions of those days are read."""
+    rows = spark.read.option("basePath", quarantine).parquet(quarantine)
     return rows.filter(F.col("received") > F.date_sub(F.current_date(), keep_days))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.session import stage
-from ledgerloom.streaming.landing import well_formed, with_reasons
+from ledgerloom.streaming.landing import land_batch, with_reasons
 
 # fixed values: days per chunk and the cursor before any run
 CHUNK_DAYS = 30
@@ -65,13 +65,26 @@ def write_cursor(spark: SparkSession, path: str, position: datetime) -> None:
     spark.createDataFrame([(position,)], "position timestamp_ntz").coalesce(1).write.mode("append").parquet(path)
 
 
-def replay_next(raw: DataFrame, cursor_path: str, landing: str, days: int = CHUNK_DAYS) -> DataFrame:
-    """One run: land the next chunk's good rows, advance the cursor, return the status row."""
+def quarantine_undated(raw: DataFrame, quarantine: str) -> None:
+    """Set apart the rows whose date does not parse: no chunk can ever hold them.
+
+    Run once per raw table; running again replaces the same quarantine folder.
+    """
+    undated = with_reasons(raw.filter(F.col("date").try_cast("timestamp_ntz").isNull()))
+    rows = undated.withColumn("received", F.current_date())
+    rows.write.mode("overwrite").partitionBy("received").parquet(f"{quarantine}/batch_id=-1")
+
+
+def replay_next(raw: DataFrame, cursor_path: str, landing: str, quarantine: str, days: int = CHUNK_DAYS) -> DataFrame:
+    """One run: land the next chunk, advance the cursor, return the status row.
+
+    The cursor moves last. A run that fails before that is repeated by the next one, which
+    skips the rows already landed.
+    """
     spark = raw.sparkSession
     cursor = read_cursor(spark, cursor_path)
     checked = chunk(raw, cursor, days)
-    rows = well_formed(checked).withColumn("day", F.to_date("date"))
-    rows.write.mode("append").partitionBy("day").parquet(landing)
+    land_batch(checked.drop("reasons"), int(cursor.replace(tzinfo=UTC).timestamp()), landing, quarantine)
     status = chunk_status(checked, cursor, days).first()
     write_cursor(spark, cursor_path, status.chunk_end)
     return spark.createDataFrame([status], STATUS)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources import schemas
 from ledgerloom.streaming import replay
-from ledgerloom.streaming.landing import decode, land_batch, start_landing
+from ledgerloom.streaming.landing import decode, kept_quarantine, land_batch, start_landing
 from ledgerloom.streaming.refresh import LANDED, VELOCITY_COLUMNS, refresh, start_refresh, velocity
 
 
@@ -29,12 +29,19 @@ def test_replay_runs_share_a_stored_cursor(spark, folder):
     rows, cursor, landing = raw(spark, ROWS), f"{folder}/cursor", f"{folder}/landing"
     assert replay.read_cursor(spark, cursor) == replay.FIRST_CURSOR
     replay.write_cursor(spark, cursor, replay.first_cursor(rows))
-    published = [replay.replay_next(rows, cursor, landing, 30).first().rows_published for _ in range(3)]
+    published = [replay.replay_next(rows, cursor, landing, f"{folder}/bad", 30).first().rows_published for _ in range(3)]
     assert published == [2, 0, 1]
     assert sorted(r.id for r in spark.read.parquet(landing).collect()) == [1, 2, 4]
+    # the bad row lies after the last good one of its chunk, so two chunks met it
+    assert [r.id for r in kept_quarantine(spark, f"{folder}/bad").collect()] == ["3", "3"]
     assert replay.read_cursor(spark, cursor) == datetime(2020, 3, 1)
 
 
+def test_rows_without_a_date_are_set_apart(spark, folder):
+    replay.quarantine_undated(raw(spark, [(1, "2020-01-01 10:00:00", "1"), (2, "someday", "1")]), f"{folder}/bad")
+    assert [(r.id, r.reasons) for r in kept_quarantine(spark, f"{folder}/bad").collect()] == [("2", ["date"])]
+
+
 def test_chunk_bounds_are_open_and_closed(spark):
     checked = replay.chunk(raw(spark, ROWS), datetime(2020, 1, 1, 10), 1)
     assert [r.id for r in checked.collect()] == ["2"]

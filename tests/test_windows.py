@@ -92,7 +92,7 @@ def test_rows_of_one_second_and_the_span_edge(spark):
         check(spark, rows, cap)
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 150), st.sampled_from("ab"), st.integers(0, 9)), min_size=1, max_size=25))
 def test_cut_features_equal_brute_force_on_any_rows(spark, drawn):
     check(spark, [(i, c, t, k, Decimal(x)) for i, (c, t, k, x) in enumerate(drawn)], cap=0, block_rows=3)
