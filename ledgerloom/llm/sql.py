@@ -34,7 +34,7 @@ found AS ({_FOUND}),
 each AS (SELECT r, k, kind, m, g, p, least, unnest(range(1, len(m) + 1)) AS i FROM found),
 spans AS (
   SELECT r, k, kind, s, s + length(m[i]) AS e FROM (
-    SELECT *, list_sum(list_transform(p[1:i], x -> length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0)::BIGINT AS s
+    SELECT *, list_sum(list_transform(p[1:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT AS s
     FROM each) WHERE length(g[i]) >= least),
 lines AS (
   SELECT r, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h,
