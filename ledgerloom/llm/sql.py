@@ -51,9 +51,9 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce
 starts AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
 windows AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM starts),
 twice AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
-gone AS (SELECT DISTINCT r, i + k AS at FROM windows JOIN twice USING (h), range(35) AS t(k)),
-words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
-kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY at) AS t FROM words ANTI JOIN gone USING (r, at) GROUP BY r)
+gone AS (SELECT DISTINCT r, i + k AS pos FROM windows JOIN twice USING (h), range(35) AS t(k)),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS t FROM words ANTI JOIN gone USING (r, pos) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
@@ -80,16 +80,16 @@ _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 LINES = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-lines AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS at FROM d),
+lines AS (SELECT r, doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS pos FROM d),
 held AS (
-  SELECT r, doc_id, at, trim(line, {_BLANK}) AS s, row_number() OVER (PARTITION BY r ORDER BY at) AS k
+  SELECT r, doc_id, pos, trim(line, {_BLANK}) AS s, row_number() OVER (PARTITION BY r ORDER BY pos) AS k
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 stretches AS (
   SELECT r, doc_id, k, md5(s || chr(10) || lead(s, 1) OVER o || chr(10) || lead(s, 2) OVER o || chr(10) || lead(s, 3) OVER o || chr(10) || lead(s, 4) OVER o) AS h
   FROM held WINDOW o AS (PARTITION BY r ORDER BY k)),
 later AS (SELECT r, k FROM (SELECT r, k, row_number() OVER (PARTITION BY h ORDER BY doc_id, k) AS n FROM stretches WHERE h IS NOT NULL) WHERE n > 1),
-gone AS (SELECT DISTINCT held.r, held.at FROM later, range(5) AS t(i), held WHERE held.r = later.r AND held.k = later.k + i),
-kept AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY at) AS t FROM lines ANTI JOIN gone USING (r, at) GROUP BY r)
+gone AS (SELECT DISTINCT held.r, held.pos FROM later, range(5) AS t(i), held WHERE held.r = later.r AND held.k = later.k + i),
+kept AS (SELECT r, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS t FROM lines ANTI JOIN gone USING (r, pos) GROUP BY r)
 SELECT doc_id, coalesce(len(l), 0)::BIGINT AS n_lines, (coalesce(len(l), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (r)
 """
