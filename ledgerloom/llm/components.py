@@ -18,6 +18,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step links nodes to smaller ones only, through minima that combine
     before the shuffle, and is written out; the steps end when nothing changes.
+    The minima are written too: joined from two written tables, the links of a
+    node with a large share of all links are split among tasks.
     Self-links and repeated links are allowed.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -27,9 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        least = stage(least, "minima")
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stage(large, "edges")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "minima")
         linked = large.join(least, "a")
         small = linked.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = stage(small.distinct(), "edges")
