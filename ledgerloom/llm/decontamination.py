@@ -125,31 +125,39 @@ def needed(n_tokens: int) -> int:
 OVERLAPS = "doc_id long, fp long, item_id long, equal_tokens int, from_token int, to_token int"
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Verified overlaps: doc_id, fp (a hash of the text), item_id and the best stretch of the pair.
+def item_passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in passes of at most `PASS_TOKENS` tokens (or one item).
 
-    The benchmark is a set of queries against all documents, taken in passes of
-    at most `PASS_TOKENS` tokens, so an index shipped to the tasks has a bounded
-    size whatever the benchmark.
+    The benchmark is a set of queries against all documents; an index shipped to
+    the tasks has a bounded size however large the set is.
     """
-    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
-    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("fp"), "text").filter("text IS NOT NULL")
-    found = spark.createDataFrame([], OVERLAPS)
     batch: list[tuple[int, str]] = []
     size = 0
-    rows = items.orderBy("item_id", "text").toLocalIterator()
-    for row in rows:
+    for row in items.orderBy("item_id", "text").toLocalIterator():
         batch.append((row["item_id"], row["text"]))
         size += len(row["text"]) // 2 + 1
         if size >= PASS_TOKENS:
-            found, batch, size = found.unionByName(_pass(keyed, batch)), [], 0
+            yield batch
+            batch, size = [], 0
     if batch:
-        found = found.unionByName(_pass(keyed, batch))
-    return found
+        yield batch
+
+
+def found_in(chunk: ta.Chunk, index: Index) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """Per (text, item_id) of a chunk the verified stretch with most equal tokens: their number, start and end."""
+    words = tokens(chunk)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for text, item, offset in index.hits(words).tolist():
+        own = words.hashes[words.first[text] : words.first[text] + words.counts[text]]
+        equal, start, end = overlap(index.tokens[item], own, offset)
+        if equal >= needed(len(index.tokens[item])):
+            key = (text, index.ids[item])
+            best[key] = max(best.get(key, (0, 0, 0)), (equal, -start, end))
+    return {key: (equal, -start, end) for key, (equal, start, end) in best.items()}
 
 
-def _pass(keyed: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+def _overlaps_pass(keyed: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     shared = keyed.sparkSession.sparkContext.broadcast(items)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,15 +167,8 @@ def _pass(keyed: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             ids, prints = b.column("doc_id").to_pylist(), b.column("fp").to_pylist()
             out = []
             for chunk in ta.chunks(b.column("text").to_pylist()):
-                words = tokens(chunk)
-                best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                for text, item, offset in index.hits(words).tolist():
-                    own = words.hashes[words.first[text] : words.first[text] + words.counts[text]]
-                    equal, start, end = overlap(index.tokens[item], own, offset)
-                    if equal >= needed(len(index.tokens[item])):
-                        key = (text, index.ids[item])
-                        best[key] = max(best.get(key, (0, 0, 0)), (equal, -start, end))
-                out += [(ids[chunk.rows.start + t], prints[chunk.rows.start + t], i, e, -s, n) for (t, i), (e, s, n) in best.items()]
+                at = chunk.rows.start
+                out += [(ids[at + t], prints[at + t], item, *span) for (t, item), span in found_in(chunk, index).items()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays(
@@ -177,6 +178,15 @@ def _pass(keyed: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     return keyed.mapInArrow(looked_up, OVERLAPS)
 
 
+def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Verified overlaps: doc_id, fp (a hash of the text), item_id and the best stretch of the pair."""
+    keyed = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("fp"), "text").filter("text IS NOT NULL")
+    found = docs.sparkSession.createDataFrame([], OVERLAPS)
+    for items in item_passes(benchmark):
+        found = found.unionByName(_overlaps_pass(keyed, items))
+    return found
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per contaminated document (doc_id, fp): the items in order and the largest number of equal tokens.
 
@@ -203,7 +213,22 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs` without overlap, all columns."""
-    hits = contaminated(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_f"))
-    return docs.join(hits, on, "left_anti")
+    """The rows of `docs` without overlap, all columns. Each pass is a filter, so nothing is shuffled."""
+    for items in item_passes(benchmark):
+        docs = _clean_pass(docs, items)
+    return docs
+
+
+def _clean_pass(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = None
+        for b in batches:
+            index = index or Index([i for i, _ in shared.value], [t for _, t in shared.value])
+            clean = np.ones(b.num_rows, bool)
+            for chunk in ta.chunks(b.column("text").to_pylist()):
+                clean[[chunk.rows.start + text for text, _ in found_in(chunk, index)]] = False
+            yield b.filter(pa.array(clean))
+
+    return docs.mapInArrow(filtered, docs.schema)
