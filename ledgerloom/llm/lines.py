@@ -109,7 +109,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     spans = stage(spans.select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), "_runs"), "line-runs")
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
     rows = docs.select(rest.alias("_row"), "text", F.xxhash64("text").alias("_fp"))
-    joined = rows.join(spans, F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_fp") == F.col("_f")), "left")
+    # the runs grow with the documents: never a broadcast, the same plan at every size
+    joined = rows.join(spans.hint("merge"), F.col("_row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_fp") == F.col("_f")), "left")
 
     def gone(lines: Column) -> Column:
         """Positions of the deleted lines among all lines."""
