@@ -204,8 +204,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 11) -> Model | Non
         return None
     languages = sorted(set(names))
     y = np.array([languages.index(n) for n in names])
-    slots = [c.values.to_numpy() if len(c) else np.zeros(0, np.int32) for c in sample.column("slots")]
-    shares = [c.values.to_numpy() if len(c) else np.zeros(0, np.float32) for c in sample.column("shares")]
+    slots, shares = ta.lists(sample.column("slots")), ta.lists(sample.column("shares"))
     # rare and frequent n-grams on one scale for the learner
     values = [s.astype(np.float64) * idf[k] * 30 for k, s in zip(slots, shares, strict=True)]
     held = np.arange(len(y)) % 5 == 0 if len(y) >= 10 else np.zeros(len(y), bool)

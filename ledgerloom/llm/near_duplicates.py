@@ -212,7 +212,8 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
     wanted = stage(sized.join(totals, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "near-wanted")
     wanted = wanted.select(F.col("first").alias("_first"), F.col("node").alias("_node"), "label", "chunks", "chunk")
     rows = docs.select(F.col("doc_id").cast("long"), node().alias("node"), "text")
-    rows = rows.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    # the wanted nodes grow with the documents: never a broadcast, the same plan at every size
+    rows = rows.join(wanted.hint("merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first")))
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,4 +292,4 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     kept = nodes.filter("kept").select(F.col("node").alias("_node"))
     # copies of a text meet before the shuffle
     one = docs.groupBy(node().alias("_node")).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col("doc_id").isNull(), "doc_id")).alias("_row"))
-    return one.join(kept, "_node", "left_semi").select("_row.*")
+    return one.join(kept.hint("merge"), "_node", "left_semi").select("_row.*")

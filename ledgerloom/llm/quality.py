@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import textarrays as ta
 
 BITS = 18
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 1500
 THRESHOLD = 0.5
 CHAR_SIZES = (2, 3, 4)
 SYMBOLS = "#*$%&|<>"
@@ -170,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: int
     y = sample.column("quality").to_numpy()
     if len(np.unique(y)) < 2:
         return None
-    slots = [c.values.to_numpy() if len(c) else np.zeros(0, np.int32) for c in sample.column("slots")]
-    shares = [c.values.to_numpy() if len(c) else np.zeros(0, np.float32) for c in sample.column("shares")]
+    slots, shares = ta.lists(sample.column("slots")), ta.lists(sample.column("shares"))
+    del sample
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
     held, train = order[: len(order) // 5], order[len(order) // 5 :]
@@ -193,6 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, rounds: int
     part = held if len(np.unique(y[held])) == 2 else order
     z = np.array([bias + weights[slots[i]] @ shares[i] for i in part])
     model.slope, model.shift = calibrate(z, y[part])
+    del slots, shares
+    pa.default_memory_pool().release_unused()
     return model
 
 

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 CHUNK_CHARS = 1 << 20
 
@@ -144,3 +145,12 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
         place = np.where(values[left] <= values[right], left, right)
         done += step
     return place
+
+
+def lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as arrays, without a copy per list."""
+    out = []
+    for part in column.chunks:
+        edge, values = part.offsets.to_numpy(), part.values.to_numpy()
+        out += [values[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return out
