@@ -39,7 +39,8 @@ def _cumulative(scored: DataFrame, rows_per_slot: int) -> DataFrame:
 
 def average_precision(scored: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
     """Sum of precision weighted by the recall gained at each distinct score (no interpolation)."""
-    gained = F.col("pos") / F.col("total_pos") * (F.col("tp") / F.col("flagged"))
+    # without positives nothing is gained
+    gained = F.coalesce(F.try_divide("pos", "total_pos"), F.lit(0.0)) * (F.col("tp") / F.col("flagged"))
     return _cumulative(scored, rows_per_slot).agg(
         F.sum(gained).alias("average_precision"),
         F.max("total_pos").alias("n_positive"),
@@ -51,7 +52,7 @@ def pr_curve(scored: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame
     return _cumulative(scored, rows_per_slot).select(
         F.col("score").alias("threshold"),
         (F.col("tp") / F.col("flagged")).alias("precision"),
-        (F.col("tp") / F.col("total_pos")).alias("recall"),
+        F.coalesce(F.try_divide("tp", "total_pos"), F.lit(0.0)).alias("recall"),
     )
 
 
@@ -108,7 +109,9 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
     negatives = F.col("rows") - p
     precision = F.when(flagged > 0, tp / flagged).otherwise(F.lit(0.0))
     recall = F.when(p > 0, tp / p).otherwise(F.lit(0.0))
-    specificity = (negatives - (flagged - tp)) / negatives
+    specificity = F.try_divide(negatives - (flagged - tp), negatives)
+    # a class without rows has no recall of its own
+    balanced = F.when(p == 0, specificity).when(negatives == 0, recall).otherwise((recall + specificity) / 2)
     return swept.select(
         _threshold(F.col("passed")).alias("threshold"),
         tp.alias("true_positives"),
@@ -116,7 +119,7 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
         precision.alias("precision"),
         recall.alias("recall"),
         F.when(flagged + p > 0, 2 * tp / (flagged + p)).otherwise(F.lit(0.0)).alias("f1"),
-        ((recall + specificity) / 2).alias("balanced_accuracy"),
+        balanced.alias("balanced_accuracy"),
     )
 
 

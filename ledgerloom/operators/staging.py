@@ -40,7 +40,8 @@ def stage_transactions(landing: DataFrame) -> DataFrame:
         "use_chip",
         "merchant_id",
         "merchant_city",
-        "merchant_state",
+        # a CSV reader turns the blank state of an online row into NULL
+        F.coalesce("merchant_state", F.lit("")).alias("merchant_state"),
         clean_zip("zip").alias("zip"),
         "mcc",
         errors.alias("errors"),

@@ -10,13 +10,10 @@ from ledgerloom.operators.enrich import home_state
 from ledgerloom.operators.ordered import ROWS_PER_SLOT
 from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.operators.staging import ERROR_FLAGS
-from ledgerloom.session import stage
 
 # fixed values: histogram clip and number of bins, drift bins
 CLIP = 500
 BINS = 50
-# up to this many groups their edges are broadcast
-FEW_GROUPS = 10_000
 
 
 def attach_labels(transactions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -38,7 +35,7 @@ def rate_by(rows: DataFrame, group: Column, name: str) -> DataFrame:
     rate = F.col("frauds") / F.col("n")
     everything = Window.partitionBy()  # one row per group
     base = F.sum("frauds").over(everything) / F.sum("n").over(everything)
-    return counts.select(name, rate.alias("fraud_rate"), "n", (rate / base).alias("multiplier"))
+    return counts.select(name, rate.alias("fraud_rate"), "n", F.try_divide(rate, base).alias("multiplier"))
 
 
 def error_rates(rows: DataFrame) -> DataFrame:
@@ -48,7 +45,7 @@ def error_rates(rows: DataFrame) -> DataFrame:
     base = rows.select(F.avg("is_fraud")).scalar()
     exploded = rows.select("is_fraud", F.explode(F.array_compact(F.array(*kinds))).alias("error_type"))
     rates = exploded.groupBy("error_type").agg(_rate().alias("fraud_rate"), F.count(F.lit(1)).alias("n"))
-    return rates.withColumn("multiplier", F.col("fraud_rate") / base)
+    return rates.withColumn("multiplier", F.try_divide("fraud_rate", base))
 
 
 def weekday_rates(rows: DataFrame) -> DataFrame:
@@ -71,11 +68,8 @@ def amount_quantiles(rows: DataFrame, rows_per_slot: int = ROWS_PER_SLOT) -> Dat
 def histogram(rows: DataFrame, group: str, value: Column, bins: int) -> DataFrame:
     """Equal-width bins from each group's minimum to its maximum, with counts and densities."""
     sized = rows.select(F.col(group), value.cast("double").alias("x"))
-    edges = stage(
-        sized.groupBy(group).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("total")), "edges"
-    )
-    # few groups would make few, huge join partitions; many are left to Spark's own choice
-    edges = F.broadcast(edges) if edges.count() <= FEW_GROUPS else edges
+    # Spark decides from the measured size of the edges how to join them
+    edges = sized.groupBy(group).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("x").alias("total"))
     width = F.col("hi") - F.col("lo")
     position = F.when(width > 0, F.floor((F.col("x") - F.col("lo")) * bins / width)).otherwise(F.lit(0))
     counted = (
@@ -104,16 +98,16 @@ def data_profile(rows: DataFrame) -> DataFrame:
         F.min(F.to_date("transaction_date")).alias("first_date"),
         F.max(F.to_date("transaction_date")).alias("last_date"),
         labelled.alias("n_labelled"),
-        (labelled / F.count(F.lit(1))).alias("labelled_share"),
+        F.try_divide(labelled, F.count(F.lit(1))).alias("labelled_share"),
         F.avg("is_fraud").alias("fraud_rate"),
         F.count_distinct("client_id").alias("n_clients"),
     )
 
 
 def out_of_state_rates(rows: DataFrame) -> DataFrame:
-    """Rates of rows in and out of the client's usual state among labelled rows."""
+    """Rates of rows in and out of the client's usual state among labelled rows; a missing state is out of a known home."""
     homes = home_state(rows)
-    away = F.coalesce(F.col("merchant_state") != F.col("home_state"), F.lit(False))
+    away = F.col("home_state").isNotNull() & ~F.col("merchant_state").eqNullSafe(F.col("home_state"))
     return (
         rows.join(homes, "client_id", "left")
         .groupBy(away.alias("out_of_state"))
@@ -137,10 +131,10 @@ def variance_decomposition(monthly: DataFrame) -> DataFrame:
         F.var_pop("total_expenses").alias("var"),
     )
     n, mean = F.col("n"), F.col("mean")
-    within = F.sum(n * F.col("var")) / F.sum(n)
-    between = F.sum(n * mean * mean) / F.sum(n) - F.pow(F.sum(n * mean) / F.sum(n), F.lit(2))
+    within = F.try_divide(F.sum(n * F.col("var")), F.sum(n))
+    between = F.try_divide(F.sum(n * mean * mean), F.sum(n)) - F.pow(F.try_divide(F.sum(n * mean), F.sum(n)), F.lit(2))
     return per_client.agg(
-        between.alias("between_clients"), within.alias("within_clients"), (between / (between + within)).alias("share")
+        between.alias("between_clients"), within.alias("within_clients"), F.try_divide(between, between + within).alias("share")
     )
 
 
@@ -205,8 +199,8 @@ def psi_drift(rows: DataFrame, split: Column, value: str, bins: int = 10, rows_p
         F.count_if(F.col("newer") == 0).alias("n_older"), F.count_if(F.col("newer") == 1).alias("n_newer")
     )
     whole = Window.partitionBy()  # one row per bin
-    old_share = F.greatest(F.col("n_older") / F.sum("n_older").over(whole), F.lit(1e-6))
-    new_share = F.greatest(F.col("n_newer") / F.sum("n_newer").over(whole), F.lit(1e-6))
+    old_share = F.greatest(F.try_divide(F.col("n_older"), F.sum("n_older").over(whole)), F.lit(1e-6))
+    new_share = F.greatest(F.try_divide(F.col("n_newer"), F.sum("n_newer").over(whole)), F.lit(1e-6))
     return counts.select(
         "bin", "n_older", "n_newer", ((new_share - old_share) * F.log(new_share / old_share)).alias("psi")
     )

@@ -38,7 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not (context.master == "local" or context.master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     if _local_scratch is None:
         _local_scratch = tempfile.mkdtemp(prefix="ledgerloom-")

@@ -67,7 +67,7 @@ def land_batch(raw: DataFrame, batch_id: int, landing: str, quarantine: str) ->
     """Append the batch's new rows to the landing table and its bad rows to quarantine.
 
     A message may be delivered again, in this batch or a later one, and a failed batch runs
-    again. Copies inside the batch are reduced by an aggregate; earlier copies are found by
+    again. A copy is a row with the same id and day, in the batch and across batches. Copies inside the batch are reduced by an aggregate; earlier copies are found by
     an anti join with the landing partitions of the batch's own days. Quarantine is written
     per batch and replaced when the batch runs again.
 
@@ -75,13 +75,15 @@ def land_batch(raw: DataFrame, batch_id: int, landing: str, quarantine: str) ->
     """
     spark = raw.sparkSession
     checked = with_reasons(raw)
-    rows = keep_first(well_formed(checked), ["id"], ["date"]).withColumn("day", F.to_date("date"))
+    rows = keep_first(well_formed(checked).withColumn("day", F.to_date("date")), ["id", "day"], ["date"])
     days = [r.day for r in rows.select("day").distinct().collect()]  # a list of calendar days
     try:
         # a read of a missing table fails; a first batch has none
         landed = spark.read.schema(rows.schema).parquet(landing).filter(F.col("day").isin(days)).select("id", "day")
         fresh = rows.join(landed, ["id", "day"], "left_anti")
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         fresh = rows
     fresh.select(*rows.columns).write.mode("append").partitionBy("day").parquet(landing)
     bad = malformed(checked).withColumn("received", F.current_date())

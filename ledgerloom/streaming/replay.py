@@ -55,7 +55,9 @@ def first_cursor(raw: DataFrame) -> datetime:
 def read_cursor(spark: SparkSession, path: str) -> datetime:
     try:
         stored = spark.read.schema("position timestamp_ntz").parquet(path).agg(F.max("position")).first()[0]
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return FIRST_CURSOR
     return stored or FIRST_CURSOR
 

@@ -53,7 +53,7 @@ SQL["residual_histogram"] = histogram(
 SQL["eda_out_of_state"] = query(LABELLED, f"""
 , home AS (SELECT client_id, merchant_state AS home_state FROM labelled WHERE merchant_state <> '' GROUP BY 1,2
   QUALIFY ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY COUNT(*) DESC, merchant_state)=1)
-SELECT COALESCE(merchant_state <> home_state, FALSE) AS out_of_state, {RATE} FROM labelled LEFT JOIN home USING (client_id) GROUP BY 1""")
+SELECT (home_state IS NOT NULL AND merchant_state IS DISTINCT FROM home_state) AS out_of_state, {RATE} FROM labelled LEFT JOIN home USING (client_id) GROUP BY 1""")
 SQL["leak_check_zip"] = query([LABELLED, HOMES], f"""
 , r AS (SELECT t.is_fraud, {AWAY} FROM labelled t LEFT JOIN home h ON t.client_id=h.client_id LEFT JOIN homezip hz ON t.client_id=hz.client_id)
 SELECT is_different_zip, {RATE} FROM r GROUP BY 1""")

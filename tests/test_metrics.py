@@ -134,3 +134,20 @@ def test_drift_of_equal_parts_is_zero(spark):
     df = spark.createDataFrame([(i % 2, float(i // 2)) for i in range(400)], "part int, x double")
     got = explore.psi_drift(df, F.col("part") == 1, "x", rows_per_slot=30).agg(F.sum("psi").alias("p"), F.count("bin").alias("n")).first()
     assert got.p == pytest.approx(0.0) and got.n == 10
+
+
+@pytest.mark.parametrize("label", [0, 1])
+def test_metrics_with_one_class_absent(spark, label):
+    scored = spark.createDataFrame([(i / 10, label) for i in range(10)], "score double, label int")
+    assert evaluate.average_precision(scored).first()["average_precision"] == pytest.approx(label)
+    assert all(r["recall"] is not None for r in evaluate.pr_curve(scored).collect())
+    sweep = evaluate.threshold_sweep(scored).orderBy("threshold").collect()
+    flagged = {r["threshold"]: r["flagged"] for r in sweep}
+    for r in sweep:
+        share = flagged[r["threshold"]] / 10
+        assert r["balanced_accuracy"] == pytest.approx(share if label else 1 - share)
+
+
+def test_rates_without_fraud(spark):
+    rows = spark.createDataFrame([(0, "a"), (0, "b")], "is_fraud int, kind string")
+    assert [r["multiplier"] for r in explore.rate_by(rows, F.col("kind"), "kind").collect()] == [None, None]
