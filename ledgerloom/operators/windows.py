@@ -12,6 +12,8 @@ Entities with at most ``cap`` rows use ordinary Spark windows. Entities above it
 row features over blocks of consecutive rows that carry the last rows of the block before,
 span features over time slices of per-second totals, where a sum over a span becomes a
 running sum of amounts entering and leaving. Both give the same values.
+A row without a time (NULL epoch) has no span features: they are NULL. Row features place it
+before the rows with a time.
 """
 
 from __future__ import annotations
@@ -125,8 +127,10 @@ def _window_column(feature: Feature, entity, epoch, order):
         return _AGGREGATES[feature.how](F.expr(feature.value)).over(frame)
     frame = Window.partitionBy(entity).orderBy(epoch).rangeBetween(-feature.start, -feature.end)
     if feature.how == "distinct":
-        return F.size(F.collect_set(F.expr(feature.value)).over(frame)).cast("bigint")
-    return _AGGREGATES[feature.how](F.expr(feature.value)).over(frame)
+        inside = F.size(F.collect_set(F.expr(feature.value)).over(frame)).cast("bigint")
+    else:
+        inside = _AGGREGATES[feature.how](F.expr(feature.value)).over(frame)
+    return F.when(F.col(epoch).isNotNull(), inside)
 
 
 def _sort_rank(feature: Feature) -> int:
@@ -170,14 +174,15 @@ def _with_cuts(df, entity, features, epoch, order, block_rows):
                 inclusive=False,
                 slot="_block",
             )
+    timed = df.filter(F.col(epoch).isNotNull())
     totals = [f for f in spans if f.how in ("count", "sum")]
     if totals:
-        out = null_safe_join(out, _span_totals(df, entity, totals, epoch), [entity, epoch], "left")
+        out = null_safe_join(out, _span_totals(timed, entity, totals, epoch), [entity, epoch], "left")
     for feature in spans:
         if feature.how == "min":
-            out = null_safe_join(out, _span_min(df, entity, feature, epoch), [entity, epoch], "left")
+            out = null_safe_join(out, _span_min(timed, entity, feature, epoch), [entity, epoch], "left")
         elif feature.how == "distinct":
-            out = null_safe_join(out, _span_distinct(df, entity, feature, epoch), [entity, epoch], "left")
+            out = null_safe_join(out, _span_distinct(timed, entity, feature, epoch), [entity, epoch], "left")
     return out.select(*df.columns, *[f.name for f in features])
 
 

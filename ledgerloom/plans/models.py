@@ -1,26 +1,30 @@
 """Fraud classification with a focal objective and multi-horizon expense forecasting.
 
-Trees are Spark ML trees; the driver only loops over rounds. Rows live in a staged table
-of feature vectors, and the growing score is staged again every few rounds, so lineage
-stays short and an executor loss repeats little work.
+Trees are Spark ML trees; the driver only loops over rounds. Any number of trees scores as
+one ensemble expression. Training rows live in a staged table of feature vectors with their
+score so far; every few rounds a new copy replaces it, so lineage stays short, an executor
+loss repeats little work, and the scratch folder never holds more than two copies.
 """
 
 from __future__ import annotations
 
+import re
+import uuid
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.ml import Estimator, PipelineModel, Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import sigmoid
 from ledgerloom.operators import encoding, evaluate
 from ledgerloom.plans import monthly
-from ledgerloom.session import stage
+from ledgerloom.session import discard, stage, stage_at
 
 # fixed values: the model's features, the columns filled with 0, and the encoded columns
 FRAUD_FEATURES = (
@@ -133,10 +137,9 @@ class FocalModel:
     losses: list[float] = field(default_factory=list)
 
     def raw(self, df: DataFrame) -> DataFrame:
-        """Add the raw score."""
+        """Add the raw score; without trees it is 0."""
         scored = self.inputs.transform(filled(df, self.features)).withColumn("raw", F.lit(0.0))
-        for tree in self.trees:
-            scored = add_tree(scored, tree, self.rate)
+        scored = add_trees(scored, self.trees, self.rate)
         return scored.drop("features", *[f"{c}_index" for c in CATEGORICAL if c in self.features])
 
     def score(self, df: DataFrame, threshold: float = SERVING_THRESHOLD) -> DataFrame:
@@ -145,15 +148,30 @@ class FocalModel:
             {"predicted": (F.col("probability") >= threshold).cast("int"), "threshold": F.lit(threshold)}
         )
 
-    def importance(self) -> list[tuple[str, float]]:
-        """Summed impurity gains per feature, highest first."""
-        gains = reduce(lambda a, b: a + b, [t.featureImportances.toArray() for t in self.trees])
-        return sorted(zip(self.features, gains.tolist(), strict=True), key=lambda p: (-p[1], p[0]))
+    def importance(self) -> list[tuple[str, int]]:
+        """Number of splits per feature over all trees, highest first."""
+        # every split is printed once as "If (feature 12 ..." and once as "Else (..."
+        splits = Counter(int(n) for tree in self.trees for n in re.findall(r"If \(feature (\d+) ", tree.toDebugString))
+        return sorted(((name, splits[i]) for i, name in enumerate(self.features)), key=lambda p: (-p[1], p[0]))
 
 
-def add_tree(df: DataFrame, tree: DecisionTreeRegressionModel, rate: float) -> DataFrame:
-    step = tree.transform(df)
-    return step.withColumn("raw", F.col("raw") + F.lit(rate) * F.col("prediction")).drop("prediction")
+def ensemble(trees: Sequence[DecisionTreeRegressionModel], rate: float) -> GBTRegressionModel:
+    """The trees, each weighted by the rate, as one Spark model."""
+    context = SparkSession.active().sparkContext
+    regression = context._jvm.org.apache.spark.ml.regression
+    each = context._gateway.new_array(regression.DecisionTreeRegressionModel, len(trees))
+    weights = context._gateway.new_array(context._jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        each[i], weights[i] = tree._java_obj, rate
+    return GBTRegressionModel(regression.GBTRegressionModel(f"focal_{uuid.uuid4().hex}", each, weights))
+
+
+def add_trees(df: DataFrame, trees: Sequence[DecisionTreeRegressionModel], rate: float) -> DataFrame:
+    """``raw`` plus what the trees say, as one expression however many there are."""
+    if not trees:
+        return df
+    step = ensemble(trees, rate).transform(df)
+    return step.withColumn("raw", F.col("raw") + F.col("prediction")).drop("prediction")
 
 
 def fit_focal(
@@ -164,20 +182,21 @@ def fit_focal(
     depth: int = 6,
     leaf_rows: int = 300,
     patience: int = 100,
-    stage_every: int = 10,
+    stage_every: int = 25,
 ) -> FocalModel:
     """Newton boosting on the focal gradient.
 
     ``rows`` hold the features, ``label`` and ``split`` (train or val). A tree is fitted to
     -gradient / hessian with the hessian as weight, so a leaf's weighted mean is the Newton
     step. Stops when the validation focal loss has not improved for ``patience`` rounds and
-    keeps the trees of the best round.
+    keeps the trees of the best round. Without validation rows all rounds run and are kept.
     """
     features = list(features)
     ready = filled(rows, features)
     inputs = assembler(features).fit(ready.filter("split = 'train'"))
     columns = ["label", "split", "features"]
-    frame = stage(inputs.transform(ready).select(*columns, F.lit(0.0).alias("raw")), "boost")
+    frame, place = stage_at(inputs.transform(ready).select(*columns, F.lit(0.0).alias("raw")), "boost")
+    staged, since = frame, 0  # the trees from `since` on are not in the staged score yet
     model = FocalModel(inputs, features, rate)
     learner = DecisionTreeRegressor(
         featuresCol="features",
@@ -194,19 +213,27 @@ def fit_focal(
         train = (
             frame.filter("split = 'train'")
             .select("features", terms["grad"].alias("grad"), terms["hess"].alias("hess"))
-            .withColumn("target", -F.col("grad") / F.col("hess"))
+            .select("features", "hess", (-F.col("grad") / F.col("hess")).alias("target"))
+            .persist()  # a fit reads its rows several times
         )
-        tree = learner.fit(train)
-        model.trees.append(tree)
-        frame = add_tree(frame, tree, rate).select(*columns, "raw")
+        model.trees.append(learner.fit(train))
+        train.unpersist()
+        frame = add_trees(staged, model.trees[since:], rate)
         if n % stage_every == 0:
-            frame = stage(frame, "boost")
+            before = place
+            staged, place = stage_at(frame.select(*columns, "raw"), "boost")
+            discard(staged.sparkSession, before)
+            frame, since = staged, n
         loss = frame.filter("split = 'val'").agg(evaluate.focal_loss(F.col("label"), F.col("raw"))).first()[0]
+        if loss is None:
+            best_round = n
+            continue
         model.losses.append(loss)
         if loss < best:
             best, best_round = loss, n
         elif n - best_round >= patience:
             break
+    discard(staged.sparkSession, place)
     model.trees = model.trees[:best_round]
     return model
 
@@ -317,12 +344,18 @@ def forecast_batch(targets: DataFrame, latest: DataFrame, models: dict) -> DataF
 
 
 def walk_forward(
-    rows: DataFrame, learner: Callable[[str], Estimator] = gbt, folds: int = 8, strict: bool = False
+    rows: DataFrame,
+    learner: Callable[[str], Estimator] = gbt,
+    folds: int = 8,
+    strict: bool = False,
+    least_val: int = 10,
+    least_train: int = 100,
 ) -> DataFrame:
     """MAE, RMSE and R2 per validation month and horizon.
 
     Trains on the months before the validation month; ``strict`` also requires the target
-    month to lie before it. Folds with fewer than 10 validation or 100 training rows are skipped.
+    month to lie before it. A fold with fewer rows than ``least_val`` or ``least_train`` gets a
+    row without scores and the status ``too few rows``.
     """
     last = rows.agg(F.max("expense_month")).first()[0]
     if last is None:
@@ -332,7 +365,8 @@ def walk_forward(
     ).collect()  # one row per fold and horizon
     results = []
     for fold in sorted(counts, key=lambda c: (c.val_month, c.horizon)):
-        if fold.n_val < 10 or fold.n_train < 100:
+        if fold.n_val < least_val or fold.n_train < least_train:
+            results.append((str(fold.val_month), fold.horizon, fold.n_train, fold.n_val, "too few rows", None, None, None))
             continue
         target = f"target_h{fold.horizon}"
         usable = rows.filter(F.col(target).isNotNull())
@@ -342,13 +376,14 @@ def walk_forward(
         forecast = learner(target).fit(train).transform(validate)
         clipped = forecast.select(F.col(target).alias("actual"), F.greatest("prediction", F.lit(0.0)).alias("forecast"))
         s = evaluate.regression_scores(clipped, [], "actual", "forecast").first()
-        results.append((str(fold.val_month), fold.horizon, s.n, s.mae, s.rmse, s.r2))
+        results.append((str(fold.val_month), fold.horizon, fold.n_train, s.n, "ok", s.mae, s.rmse, s.r2))
     return _scores(rows.sparkSession, results)
 
 
 def _scores(spark, results) -> DataFrame:
     return spark.createDataFrame(
-        results, "val_month string, horizon int, n bigint, mae double, rmse double, r2 double"
+        results,
+        "val_month string, horizon int, n_train bigint, n bigint, status string, mae double, rmse double, r2 double",
     )
 
 
@@ -369,7 +404,7 @@ def walk_forward_pooled(rows: DataFrame, learner: Callable[[str], Estimator] = g
 def fold_means(scores: DataFrame) -> DataFrame:
     """Mean scores over the folds per horizon and overall."""
     means = [F.avg(c).alias(c) for c in ("r2", "mae", "rmse")]
-    return scores.rollup("horizon").agg(*means).withColumn("horizon", F.coalesce(F.col("horizon").cast("string"), F.lit("overall")))
+    return scores.filter("status = 'ok'").rollup("horizon").agg(*means).withColumn("horizon", F.coalesce(F.col("horizon").cast("string"), F.lit("overall")))
 
 
 def two_stage_forecast(rows: DataFrame, score_rows: DataFrame, target: str, learner: Callable[[str], Estimator] = gbt) -> DataFrame:

@@ -55,6 +55,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Used where a plan would otherwise be recomputed with a different outcome
     (range bounds) or grow without end (iterations). Survives executor loss.
     """
+    return stage_at(df, name)[0]
+
+
+def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Like `stage`, with the path of the copy, for loops that discard it later."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged copy that nothing reads any more."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)

@@ -4,25 +4,25 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.plans.models import FocalModel
+from ledgerloom.plans.models import FocalModel, ensemble
 
 HEAD = "features string, rate double, n_trees int"
 
 
 def save_fraud_model(model: FocalModel, spark: SparkSession, path: str) -> None:
     model.inputs.write().overwrite().save(f"{path}/fraud/inputs")
-    for i, tree in enumerate(model.trees):
-        tree.write().overwrite().save(f"{path}/fraud/trees/{i}")
+    if model.trees:
+        ensemble(model.trees, model.rate).write().overwrite().save(f"{path}/fraud/trees")
     head = spark.createDataFrame([(",".join(model.features), model.rate, len(model.trees))], HEAD)
     head.coalesce(1).write.mode("overwrite").parquet(f"{path}/fraud/head")
 
 
 def load_fraud_model(spark: SparkSession, path: str) -> FocalModel:
     head = spark.read.schema(HEAD).parquet(f"{path}/fraud/head").first()
-    trees = [DecisionTreeRegressionModel.load(f"{path}/fraud/trees/{i}") for i in range(head.n_trees)]
+    trees = GBTRegressionModel.load(f"{path}/fraud/trees").trees if head.n_trees else []
     inputs = PipelineModel.load(f"{path}/fraud/inputs")
     return FocalModel(inputs, head.features.split(","), head.rate, trees)
 

@@ -42,11 +42,32 @@ def test_boosting_lowers_the_focal_loss(model, rows):
     assert evaluate.average_precision(scored).first().average_precision > 0.8
 
 
+def test_ensemble_equals_the_sum_of_its_trees(model, rows):
+    inputs = model.inputs.transform(models.filled(rows, FEATURES))
+    want = dict.fromkeys(range(600), 0.0)
+    for tree in model.trees:
+        for r in tree.transform(inputs).collect():
+            want[r.id] += model.rate * r.prediction
+    assert {r.id: r.raw for r in model.raw(rows).collect()} == pytest.approx(want)
+    assert sum(n for _, n in model.importance()) == sum((t.numNodes - 1) // 2 for t in model.trees)
+
+
+def test_training_keeps_one_copy_and_needs_no_validation_rows(spark, rows):
+    from pathlib import Path
+
+    from ledgerloom.session import scratch_dir
+
+    copies = set(Path(scratch_dir(spark)).glob("boost-*"))
+    fitted = models.fit_focal(rows.filter("split = 'train'"), FEATURES, rounds=3, depth=2, leaf_rows=10, stage_every=2)
+    assert len(fitted.trees) == 3 and fitted.losses == []
+    assert set(Path(scratch_dir(spark)).glob("boost-*")) == copies
+
+
 def test_saved_model_scores_alike(spark, model, rows, folder):
     artifacts.save_fraud_model(model, spark, folder)
     loaded = artifacts.load_fraud_model(spark, folder)
     want = {r.id: r.probability for r in model.score(rows).collect()}
-    assert {r.id: r.probability for r in loaded.score(rows).collect()} == want
+    assert {r.id: r.probability for r in loaded.score(rows).collect()} == pytest.approx(want)
     status = {r.artifact: r.is_loaded for r in artifacts.artifact_status(spark, folder).collect()}
     assert status["fraud_model"] and not status["forecast_h1"]
     assert artifacts.load_forecast_models(folder) == {}
@@ -98,9 +119,11 @@ def test_walk_forward_skips_small_folds(spark):
             ["client_id", "expense_month", "features", "target_h1", "target_h2", "target_h3"],
         )
 
-    assert models.walk_forward(rows(3), small_tree, folds=2).count() == 0
+    few = models.walk_forward(rows(3), small_tree, folds=2)
+    assert [(r.status, r.n, r.r2) for r in few.collect()] == [("too few rows", 3, None)] * 6
+    assert models.walk_forward(rows(3), small_tree, folds=2, least_val=3, least_train=30).filter("status = 'ok'").count() == 6
     scores = models.walk_forward(rows(12), small_tree, folds=2)
-    assert scores.count() == 6
+    assert scores.filter("status = 'ok'").count() == 6
     assert "overall" in [r.horizon for r in models.fold_means(scores).collect()]
     assert models.walk_forward_pooled(rows(12), small_tree, months=3).first().n == 24
 

@@ -51,6 +51,23 @@ def brute_force(rows):
     return out
 
 
+def test_rows_without_a_time_are_alike_on_both_paths(spark):
+    rows = [(i, i % 2, None if i % 9 == 0 else i * 7 % 150, "ab"[i % 2], None if i % 5 == 0 else Decimal(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, COLUMNS)
+    both = []
+    for cap in (1000, 10):
+        heavy = heavy_entities(df, "card", cap)
+        assert (heavy is None) == (cap == 1000)
+        got = add_features(df, "card", FEATURES, heavy, epoch="epoch", order=("id",), block_rows=4).collect()
+        both.append({r.id: r for r in got})
+    assert both[0].keys() == both[1].keys()
+    for key, plain in both[0].items():
+        for name in (f.name for f in FEATURES):
+            assert plain[name] == (pytest.approx(both[1][key][name]) if isinstance(plain[name], float) else both[1][key][name]), (key, name)
+        if plain.epoch is None:
+            assert all(plain[f.name] is None for f in FEATURES if isinstance(f, Span))
+
+
 def check(spark, rows, cap, block_rows=4):
     df = spark.createDataFrame(rows, COLUMNS)
     heavy = heavy_entities(df, "card", cap)
