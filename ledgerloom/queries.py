@@ -202,10 +202,10 @@ def home_state_point_in_time(t: Tables) -> DataFrame:
 
 @query
 def load_features_by_id(t: Tables) -> DataFrame:
+    """The model's mart columns of the labelled rows."""
     wanted = t.labels.select("transaction_id")
-    return t.transactions.join(wanted, "transaction_id", "left_semi").select(
-        "transaction_id", "amount", "use_chip", "mcc", "has_any_error"
-    )
+    columns = [c for c in models.FRAUD_FEATURES if not c.endswith("_te")]
+    return t.mart().join(wanted, "transaction_id", "left_semi").select("transaction_id", *columns)
 
 
 @query
@@ -985,12 +985,12 @@ def stream_features(t: Tables) -> DataFrame:
 
 # --- models -------------------------------------------------------------------------------
 
-# settings of the registered model queries: few rounds, all rows
-QUICK = {"rounds": 5, "rate": 0.3, "leaf_rows": 50, "patience": 5}
+# settings of the registered forecast queries: fewer rounds at a higher rate than the defaults
+FORECAST_ROUNDS = {"rounds": 4, "rate": 0.3}
 
 
 def _quick_gbt(target: str):
-    return models.gbt(target, rounds=4, rate=0.3)
+    return models.gbt(target, **FORECAST_ROUNDS)
 
 
 def _quick_tree(target: str):
@@ -1020,30 +1020,64 @@ def _training_rows(t: Tables) -> DataFrame:
     return stage(models.training_rows(t.mart(), t.labels, TIME_ORDER), "training")
 
 
+_fitted: dict[tuple[str, str], tuple[models.FocalModel, DataFrame]] = {}
+
+
+def _fraud_model(t: Tables) -> tuple[models.FocalModel, DataFrame]:
+    """The focal model at its full settings and its rows; fitted once per application and folder."""
+    place = (t.spark.sparkContext.applicationId, t.folder)
+    if place not in _fitted:
+        rows = _training_rows(t)
+        _fitted[place] = models.fit_focal(rows), rows
+    return _fitted[place]
+
+
+def _stated(scored: DataFrame, *columns: str) -> DataFrame:
+    """What can be said of any model's scores: they are probabilities, and the flag follows from them."""
+    p = F.col("probability")
+    return scored.select(
+        *columns,
+        "threshold",
+        F.coalesce((p > 0) & (p < 1), F.lit(False)).alias("score_valid"),
+        F.coalesce((F.col("predicted") == 1) == (p >= F.col("threshold")), F.lit(False)).alias("flag_agrees"),
+    )
+
+
 @query
 def fraud_model(t: Tables) -> DataFrame:
-    """Validation scores of a focal model."""
-    rows = _training_rows(t)
-    model = models.fit_focal(rows, **QUICK)
+    """Validation rows as the focal model answers them at the F1 threshold."""
+    model, rows = _fraud_model(t)
     scored = model.score(rows.filter("split = 'val'"), evaluate.OPERATING_POINTS["F1-optimal"])
-    return scored.select("transaction_id", "label", "raw", "probability", "predicted", "threshold")
+    return _stated(scored, "transaction_id", "label")
+
+
+@query
+def fraud_model_fit(t: Tables) -> DataFrame:
+    """One row per split: its size, and whether boosting lowered the focal loss against no trees."""
+    model, rows = _fraud_model(t)
+    scored = model.raw(rows)
+    loss = evaluate.focal_loss(F.col("label"), F.col("raw"))
+    untrained = evaluate.focal_loss(F.col("label"), F.lit(0.0))
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("n_fraud"), (loss < untrained).alias("loss_fell")
+    )
 
 
 @query
 def feature_importance(t: Tables) -> DataFrame:
-    model = models.fit_focal(_training_rows(t), **QUICK)
-    top = [(rank, name, gain) for rank, (name, gain) in enumerate(model.importance()[:20], 1)]
-    return t.spark.createDataFrame(top, "rank int, feature string, importance double")
+    """The twenty features split on most often."""
+    model, _ = _fraud_model(t)
+    top = [(rank, name, splits) for rank, (name, splits) in enumerate(model.importance()[:20], 1)]
+    return t.spark.createDataFrame(top, "rank int, feature string, importance bigint")
 
 
 @query
 def score_requests(t: Tables) -> DataFrame:
-    """Scoring requests answered by a focal model at the serving threshold."""
+    """Scoring requests answered by the focal model at the serving threshold."""
+    model, _ = _fraud_model(t)
     train = t.labelled.withColumnRenamed("is_fraud", "label")
-    model = models.fit_focal(_training_rows(t), **QUICK)
     rows = models.with_encodings(models.request_features(_valid_requests(t)), train, TIME_ORDER, False)
-    scored = model.score(models.padded(rows, models.FRAUD_FEATURES))
-    return scored.select("transaction_id", (F.col("predicted") == 1).alias("is_fraud"), "probability", "threshold")
+    return _stated(model.score(models.padded(rows, models.FRAUD_FEATURES)), "transaction_id")
 
 
 @query
@@ -1051,8 +1085,8 @@ def stream_score(t: Tables) -> DataFrame:
     """The same requests arriving as a stream."""
     base = scratch_path(t.spark, "stream-score")
     _raw_requests(t).write.parquet(f"{base}/requests")
+    model, _ = _fraud_model(t)
     train = t.labelled.withColumnRenamed("is_fraud", "label")
-    model = models.fit_focal(_training_rows(t), **QUICK)
     tables = [stage(encoding.encoding_table(train, c, "label"), "encoding") for c in models.ENCODED]
     mean = train.agg(F.avg("label")).first()[0]
 
@@ -1061,19 +1095,21 @@ def stream_score(t: Tables) -> DataFrame:
         for column, table in zip(models.ENCODED, tables, strict=True):
             rows = rows.join(table, column, "left").fillna({f"{column}_te": mean})
         scored = model.score(models.padded(rows, models.FRAUD_FEATURES))
-        return scored.select("transaction_id", "probability", "predicted")
+        return scored.select("transaction_id", "probability", "predicted", "threshold")
 
     schema = t.spark.read.parquet(f"{base}/requests").schema
     stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{base}/requests")
     start_scoring(stream, score, f"{base}/scores", f"{base}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{base}/scores").drop("batch_id")
+    return _stated(t.spark.read.parquet(f"{base}/scores"), "transaction_id")
 
 
 @query
 def prediction_output(t: Tables) -> DataFrame:
-    """Yes or No for every transaction; only labelled ones are scored here, the rest get No."""
-    scored = t.scored().select("transaction_id", (F.col("score") >= 0.37).cast("int").alias("predicted"))
-    return sinks.fraud_predictions(t.transactions.select("transaction_id"), scored)
+    """Yes or No for every transaction, labelled or not, and for as many ids without a transaction (No)."""
+    scored = t.scored(t.transactions).select("transaction_id", (F.col("score") >= 0.37).cast("int").alias("predicted"))
+    ids = t.transactions.select("transaction_id")
+    absent = ids.select((-F.col("transaction_id") - 1).alias("transaction_id"))
+    return sinks.fraud_predictions(ids.unionByName(absent), scored)
 
 
 @query

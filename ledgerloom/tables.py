@@ -84,8 +84,9 @@ class Tables:
     def mart(self, **limits) -> DataFrame:
         return fraud_mart.fraud_features(self.transactions, self.mcc, self.cards, self.users, **limits)
 
-    def scored(self) -> DataFrame:
-        """Labelled transactions with a simple risk score, for the metric queries."""
+    def scored(self, rows: DataFrame | None = None) -> DataFrame:
+        """Transactions (the labelled ones if none are given) with a simple risk score, for the metric queries."""
+        rows = self.labelled if rows is None else rows.withColumn("is_fraud", F.lit(None).cast("int"))
         points = (
             F.col("has_any_error") * 300
             + F.col("is_online") * 120
@@ -93,7 +94,7 @@ class Tables:
             + F.col("transaction_id") % 97
         )
         score = (points + 1) / F.lit(1000.0)
-        return self.labelled.select(
+        return rows.select(
             "transaction_id",
             F.col("is_fraud").alias("label"),
             score.alias("score"),

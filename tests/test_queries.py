@@ -11,7 +11,7 @@ from tests.conftest import FOLDER
 COMPARED = (
     "mart_fraud_features mart_client_monthly_expenses forecast_features int_client_transactions q4_top_visa_client "
     "cash_flow_weekly report_narrative_facts eda_error_rate dq_deduplicate target_encode_oof threshold_sweep pr_curve_cut "
-    "stream_landing replay_chunk incremental_mart"
+    "stream_landing replay_chunk incremental_mart load_features_by_id prediction_output prediction_summary"
 ).split()
 
 
@@ -30,7 +30,8 @@ def test_statements_belong_to_queries():
     queries, statements = entry_points.queries(), entry_points.oracle_sql()
     assert set(statements) <= set(queries)
     own = {name for name in queries if not re.match(r"op\d+_|pipeline$", name)}
-    assert len(own - set(statements)) < 8
+    # rankings of features and forecast scores depend on the fitted model
+    assert own - set(statements) == {"feature_importance", "forecast_model", "forecast_batch", "walk_forward_scores"}
 
 
 def test_entry(spark):
