@@ -5,10 +5,14 @@
    give a ProbMinHash signature; `BANDS` bands of `ROWS` registers are hashed.
 3. Nodes that share a band are linked to the least node of the bucket, never
    with each other; connected components of these links are candidate groups.
-4. Inside a candidate group all pairs are verified with the exact probability
-   Jaccard similarity, so no link between different texts is lost to the choice
-   of pairs. A large group is cut into chunks and every pair of chunks is one
-   unit of work of bounded size; a unit returns the links of a spanning forest.
+4. Candidate groups are verified with the exact probability Jaccard similarity,
+   in units of bounded size that return the links of a spanning forest. First a
+   group is cut into chunks and each chunk, with the least node of the group,
+   is compared pair by pair. Then a group of several chunks is compared again,
+   but only what is not in its largest part so far, with the whole group: pairs
+   inside the largest part are connected already. No link between different
+   texts is lost, and a large group of near copies costs in proportion to its
+   size.
 5. Connected components of verified links are the classes.
 
 Probability Jaccard similarity equals plain Jaccard similarity where no shingle
@@ -158,9 +162,13 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
     return components(links.distinct())
 
 
-def _forest(sets: list[tuple[np.ndarray, np.ndarray]], left: range, right: range) -> list[tuple[int, int]]:
-    """Links of a spanning forest over all pairs of `left` and `right` at the threshold or above."""
-    parent = list(range(len(sets)))
+def _forest(sets: list[tuple[np.ndarray, np.ndarray]], left: range, right: range, parts: list[bytes]) -> list[tuple[int, int]]:
+    """Links of a spanning forest over all pairs of `left` and `right` at the threshold or above.
+
+    Sets of the same part count as connected from the start.
+    """
+    lead: dict[bytes, int] = {}
+    parent = [lead.setdefault(part, i) for i, part in enumerate(parts)]
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -210,7 +218,7 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
     totals = stage(totals.select("label", chunks.alias("chunks")), "near-totals")
     sized = stage(sized, "near-sized")
     wanted = stage(sized.join(totals, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "near-wanted")
-    wanted = wanted.select(F.col("first").alias("_first"), F.col("node").alias("_node"), "label", "chunks", "chunk")
+    wanted = wanted.select(F.col("first").alias("_first"), F.col("node").alias("_node"), "label", "chunks", "chunk", "shingles")
     rows = docs.select(F.col("doc_id").cast("long"), node().alias("node"), "text")
     # the wanted nodes grow with the documents: never a broadcast, the same plan at every size
     rows = rows.join(wanted.hint("merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first")))
@@ -227,39 +235,64 @@ def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> Data
     kind = "node binary, label binary, chunks int, chunk int, keys array<long>, counts array<int>"
     # repeated rows give the same node again, and a node does no harm twice
     sets = stage(rows.select("node", "text", "label", "chunks", "chunk").mapInArrow(as_sets, kind), "near-sets")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    placed = sets.withColumn("other", other).select(
-        "label", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "keys", "counts"
+    # every chunk with the group's least node, which all of its nodes were linked to
+    hub = sets.filter("node = label").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("i <> chunk")
+    alone = sets.withColumn("i", F.col("chunk")).unionByName(hub)
+    alone = alone.select("label", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), "chunks", "node", F.col("node").alias("part"), "keys", "counts")
+    links = stage(_linked(alone), "near-links")
+    # one chunk: all pairs are compared. Several: what the largest part leaves out goes on
+    several = wanted.filter("chunks > 1").select(F.col("_node").alias("node"), "label", "shingles")
+    parts = stage(components(links.filter("chunks > 1").select("a", "b")), "near-parts").withColumnRenamed("label", "part")
+    parts = stage(several.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-parts")
+    sizes = parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s"))
+    most = F.max(F.struct("n", "part", "s")).alias("most")
+    main = sizes.groupBy("label").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), most)
+    n, shingled = F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")
+    rests = F.greatest(F.ceil(n / CHUNK_NODES), F.ceil(shingled / CHUNK_SHINGLES)).cast("int")
+    main = stage(main.filter(n > 0).select("label", F.col("most.part").alias("main"), rests.alias("rests")), "near-main")
+    rest = F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int"))
+    again = stage(parts.join(main, "label").select("node", "part", "rests", rest.alias("rest")), "near-again")
+    rows = sets.filter("chunks > 1").join(again.hint("merge"), "node")
+    shared = ["label", "i", "j", "side", "chunks", "node", "part", "keys", "counts"]
+    left = rows.filter("rest IS NOT NULL").withColumns(
+        {"i": F.col("rest"), "j": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(0)}
     )
-    placed = placed.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "chunk")
+    right = rows.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "j": F.col("chunk"), "side": F.lit(1)})
+    return links.unionByName(_linked(left.select(*shared).unionByName(right.select(*shared)))).select("a", "b")
+
+
+def _linked(placed: DataFrame) -> DataFrame:
+    """(a, b, chunks): new links inside every unit (label, i, j), between side 0 and side 1 or, without a side 1, inside side 0."""
+    placed = placed.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "side")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, sides, sets = None, [], [], []
+        unit, nodes, parts, sides, sets = None, [], [], [], []
 
         def close() -> pa.RecordBatch:
-            split = sides.count(unit[1])
+            split = sides.count(0)
             left = range(split)
-            right = left if unit[1] == unit[2] else range(split, len(sets))
-            links = _forest(sets, left, right)
+            right = left if split == len(sides) else range(split, len(sets))
+            links = _forest(sets, left, right, parts)
             columns = [pa.array([nodes[p[k]] for p in links], pa.binary()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+            return pa.RecordBatch.from_arrays([*columns, pa.array([unit[3]] * len(links), pa.int32())], ["a", "b", "chunks"])
 
         for b in batches:
             keys, counts = b.column("keys"), b.column("counts")
-            names = zip(*[b.column(c).to_pylist() for c in ("label", "i", "j", "chunk", "node")], strict=True)
-            for r, (label, i, j, side, name) in enumerate(names):
-                if (label, i, j) != unit:
+            names = zip(*[b.column(c).to_pylist() for c in ("label", "i", "j", "chunks", "side", "node", "part")], strict=True)
+            for r, (label, i, j, chunks, side, name, part) in enumerate(names):
+                if (label, i, j, chunks) != unit:
                     if unit:
                         yield close()
-                    unit, nodes, sides, sets = (label, i, j), [], [], []
+                    unit, nodes, parts, sides, sets = (label, i, j, chunks), [], [], [], []
                 nodes.append(name)
+                parts.append(part)
                 sides.append(side)
                 # copies: the batch itself may go
                 sets.append((keys[r].values.to_numpy().view(np.uint64).copy(), counts[r].values.to_numpy().copy()))
         if unit:
             yield close()
 
-    return placed.mapInArrow(linked, "a binary, b binary")
+    return placed.mapInArrow(linked, "a binary, b binary, chunks int")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
