@@ -8,25 +8,27 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import stage
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b") % (1 << 40)).alias("h")).first()
-    return row["n"], row["h"] or 0
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has at most one smaller neighbour, and that one has none: the least node of a component is linked to all others."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return nodes.filter("down > 1 OR (down = 1 AND up = 1)").agg(F.count(F.lit(1))).first()[0] == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b); the label is the least node of the component.
 
     Each step links nodes to smaller ones only, through minima that combine
-    before the shuffle, and is written out; the steps end when nothing changes.
+    before the shuffle, and is written out; the steps end when only stars are left.
     The minima are written too: joined from two written tables, the links of a
     node with a large share of all links are split among tasks.
     Self-links and repeated links are allowed.
     """
     high, low = F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
     edges = stage(edges.filter("a <> b").select(high, low).distinct(), "edges")
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         least = stage(least, "minima")

@@ -159,7 +159,7 @@ def candidate_groups(nodes: DataFrame) -> DataFrame:
     least = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     least = stage(least.select("bucket", "low"), "near-buckets")
     links = members.join(least, "bucket").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return components(links.distinct())
+    return components(links)
 
 
 def _forest(sets: list[tuple[np.ndarray, np.ndarray]], left: range, right: range, parts: list[bytes]) -> list[tuple[int, int]]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination, language, lines, mixture, near_duplicates, passages, quality, secrets, sharding
 from ledgerloom.llm import textarrays as ta
+from ledgerloom.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -185,6 +186,19 @@ def test_signatures_estimate_similarity():
     assert np.mean(agree) == pytest.approx(jaccard(x, y), abs=0.03)
 
 
+def test_components_of_chains_stars_and_random_links(spark):
+    draw = random.Random(5)
+    links = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 230)] + [(i, 300) for i in range(301, 330)]
+    links += [(draw.randrange(400, 500), draw.randrange(400, 500)) for _ in range(80)] + [(7, 7), (8, 9), (9, 8), (8, 9)]
+    label = {n: n for link in links for n in link}
+    for _ in range(len(label)):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    alone = {a for a, b in links if a == b} - {n for a, b in links if a != b for n in (a, b)}
+    same(components(spark.createDataFrame(links, "a long, b long")).collect(), [(n, c) for n, c in label.items() if n not in alone])
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_near_duplicates(docs, rows, none):
     texts = sorted({r[1] or "" for r in rows})
     sets = {}
