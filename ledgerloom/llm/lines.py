@@ -13,6 +13,10 @@ order of doc_id (null first), a hash of the text, and position; so of
 overlapping repeats in one document the first lines stay. Lines without a word
 stay and do not interrupt a run.
 
+The functions take another least length as `run`. Below `RUN` lines the window
+shrinks with it, then the gram, so repeats of `run` lines still share a
+fingerprint; at one line every later copy of a line goes.
+
 Defined results: a null text stays null and has no lines. Rows that repeat
 doc_id and text count as one document and share its result. Other columns pass
 through. Empty tables give no rows. The line feed is the only line end; a
@@ -59,31 +63,33 @@ def _upto(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _stretches(hashes: Column) -> Column:
-    """For every stretch of RUN lines: its place, its hash, its fingerprint and the fingerprint's place."""
+def _stretches(hashes: Column, run: int) -> Column:
+    """For every stretch of `run` lines: its place, its hash, its fingerprint and the fingerprint's place."""
+    gram = min(GRAM, run)
+    width = run - gram + 1
 
     def of(h: Column) -> Column:
-        grams = F.transform(_upto(F.size(h) - (GRAM - 1)), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(GRAM)]))
+        grams = F.transform(_upto(F.size(h) - (gram - 1)), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(gram)]))
 
         def stretch(g: Column, j: Column) -> Column:
-            window = [F.get(g, j + k) for k in range(WINDOW)]
-            least = F.least(*window)
+            window = [F.get(g, j + k) for k in range(width)]
+            least = F.least(*window) if width > 1 else window[0]
             place = F.coalesce(*[F.when(v == least, j + k) for k, v in enumerate(window)])
-            whole = F.xxhash64(*[F.get(h, j + k) for k in range(RUN)])
+            whole = F.xxhash64(*[F.get(h, j + k) for k in range(run)])
             return F.struct(j.alias("line"), whole.alias("stretch"), least.alias("print"), place.alias("at"))
 
-        return _let(grams, lambda g: F.transform(_upto(F.size(g) - (WINDOW - 1)), lambda j: stretch(g, j)))
+        return _let(grams, lambda g: F.transform(_upto(F.size(g) - (width - 1)), lambda j: stretch(g, j)))
 
     return _let(hashes, of)
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     """Runs to delete: doc_id, fp, from_line, n_lines, and where they stood first: first_id, first_fp, first_line.
 
     Line numbers count lines that hold a word, from 0.
     """
     rows = keyed(docs).filter("text IS NOT NULL")
-    found = stage(rows.select(*KEY, F.explode(_stretches(_hashes(F.col("text")))).alias("s")).select(*KEY, "s.*"), "line-stretches")
+    found = stage(rows.select(*KEY, F.explode(_stretches(_hashes(F.col("text")), run)).alias("s")).select(*KEY, "s.*"), "line-stretches")
     place = F.struct(*KEY, "at")
     prints = found.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter(~F.col("low").eqNullSafe(F.col("high")))
     prints = stage(prints.select("print"), "line-prints")
@@ -97,14 +103,14 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy(*KEY, "first_id", "first_fp", "shift").orderBy("line")
     placed = pair.select(*side, "line", "first_line").withColumn("island", F.col("line") - F.row_number().over(order))
     runs = placed.groupBy(*KEY, "first_id", "first_fp", "shift", "island").agg(
-        F.min("line").alias("from_line"), (F.max("line") - F.min("line") + RUN).alias("n_lines"), F.min("first_line").alias("first_line")
+        F.min("line").alias("from_line"), (F.max("line") - F.min("line") + run).alias("n_lines"), F.min("first_line").alias("first_line")
     )
     return runs.drop("shift", "island")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The rows of `docs` with repeated runs cut out of the text, as `_row` (the input row without its text), text, n_lines, n_removed."""
-    runs = repeated_runs(docs)
+    runs = repeated_runs(docs, run)
     spans = runs.groupBy(*KEY).agg(F.collect_set(F.struct("from_line", "n_lines")).alias("_runs"))
     spans = stage(spans.select(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), "_runs"), "line-runs")
     rest = F.struct(*[F.col(c) for c in docs.columns if c != "text"])
@@ -131,8 +137,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     """The columns of `docs`, with shortened texts (and their n_chars, where there is such a column)."""
-    out = deduplicated(docs)
+    out = deduplicated(docs, run)
     chars = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return out.select(*[F.col("text") if c == "text" else chars.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])

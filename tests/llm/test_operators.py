@@ -340,3 +340,23 @@ def test_line_dedup(docs, rows, none):
     shorter = lines.line_dedup(docs)
     assert shorter.columns == docs.columns and shorter.filter("n_chars <> length(text)").count() == 0
     assert lines.line_dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("run", [1, 3, 6])
+def test_line_dedup_of_other_lengths(spark, run):
+    rng = random.Random(run)
+    table = [(i, "\n".join(f" line {rng.randint(0, 30)}" if rng.random() < 0.9 else " " for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    copied = "\n".join(f"stands in short documents {k}" for k in range(run))
+    table += [(100, copied), (101, copied), (102, None), (103, "")]
+    first, want = {}, []
+    for i, text in table:
+        full = [] if text is None else text.split("\n")
+        held = [k for k, line in enumerate(full) if line.strip()]
+        gone = set()
+        for k in range(len(held) - run + 1):
+            if first.setdefault(tuple(full[j].strip() for j in held[k : k + run]), (i, k)) != (i, k):
+                gone |= set(held[k : k + run])
+        want.append((i, None if text is None else "\n".join(x for k, x in enumerate(full) if k not in gone), len(full), len(gone)))
+    out = lines.deduplicated(spark.createDataFrame(table, "doc_id long, text string"), run)
+    same(out.select("_row.doc_id", "text", "n_lines", "n_removed").collect(), want)
+    assert next(w[3] for w in want if w[0] == 101) == run
