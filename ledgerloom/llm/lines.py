@@ -3,10 +3,12 @@
 Lines that hold a word are hashed, stripped of white space at both ends. `GRAM`
 consecutive lines make a gram; of every `WINDOW` consecutive grams the least is
 a fingerprint. Two runs of `RUN` = GRAM + WINDOW - 1 equal lines therefore share
-a fingerprint at the same place. Fingerprints found at two places are joined
-back to their positions, matches are extended both ways to all stretches of
-`RUN` lines around them, stretches that follow each other on the same pair of
-documents grow to runs, and every run but the first is deleted.
+a fingerprint at the same place. A row is written per selected fingerprint; only
+those found at two places are extended to the stretches of `RUN` lines that
+selected them, and a hash of all lines of a stretch finds where it stood first
+(the first place of a fingerprint need not be the first of each stretch around
+it). Stretches that follow each other on the same pair of documents grow to
+runs, and every run but the first is deleted.
 
 A line goes if a stretch of `RUN` lines that covers it also started earlier, in
 order of doc_id (null first), a hash of the text, and position; so of
@@ -63,22 +65,31 @@ def _upto(count: Column) -> Column:
     return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _stretches(hashes: Column, run: int) -> Column:
-    """For every stretch of `run` lines: its place, its hash, its fingerprint and the fingerprint's place."""
+def _fingerprints(hashes: Column, run: int) -> Column:
+    """Selected fingerprints: the first stretch of `run` lines that selects it, the print, hashes of all stretches that do."""
     gram = min(GRAM, run)
     width = run - gram + 1
 
     def of(h: Column) -> Column:
         grams = F.transform(_upto(F.size(h) - (gram - 1)), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(gram)]))
 
-        def stretch(g: Column, j: Column) -> Column:
+        def place(g: Column, j: Column) -> Column:
             window = [F.get(g, j + k) for k in range(width)]
             least = F.least(*window) if width > 1 else window[0]
-            place = F.coalesce(*[F.when(v == least, j + k) for k, v in enumerate(window)])
-            whole = F.xxhash64(*[F.get(h, j + k) for k in range(run)])
-            return F.struct(j.alias("line"), whole.alias("stretch"), least.alias("print"), place.alias("at"))
+            return F.coalesce(*[F.when(v == least, j + k) for k, v in enumerate(window)])
 
-        return _let(grams, lambda g: F.transform(_upto(F.size(g) - (width - 1)), lambda j: stretch(g, j)))
+        def selected(g: Column, at: Column) -> Column:
+            # places never go back, so the stretches of a fingerprint follow each other
+            heads = F.filter(_upto(F.size(at)), lambda j: (j == 0) | (F.get(at, j - 1) != F.get(at, j)))
+            whole = lambda j: F.xxhash64(*[F.get(h, j + k) for k in range(run)])
+
+            def fingerprint(j: Column) -> Column:
+                own = F.filter(F.sequence(j, j + (width - 1)), lambda i: F.get(at, i) == F.get(at, j))
+                return F.struct(j.alias("line"), F.get(g, F.get(at, j)).alias("print"), F.transform(own, whole).alias("stretches"))
+
+            return F.transform(heads, fingerprint)
+
+        return _let(grams, lambda g: _let(F.transform(_upto(F.size(g) - (width - 1)), lambda j: place(g, j)), lambda at: selected(g, at)))
 
     return _let(hashes, of)
 
@@ -89,11 +100,12 @@ def repeated_runs(docs: DataFrame, run: int = RUN) -> DataFrame:
     Line numbers count lines that hold a word, from 0.
     """
     rows = keyed(docs).filter("text IS NOT NULL")
-    found = stage(rows.select(*KEY, F.explode(_stretches(_hashes(F.col("text")), run)).alias("s")).select(*KEY, "s.*"), "line-stretches")
-    place = F.struct(*KEY, "at")
+    found = stage(rows.select(*KEY, F.explode(_fingerprints(_hashes(F.col("text")), run)).alias("s")).select(*KEY, "s.*"), "line-fingerprints")
+    place = F.struct(*KEY, "line")
     prints = found.groupBy("print").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter(~F.col("low").eqNullSafe(F.col("high")))
     prints = stage(prints.select("print"), "line-prints")
-    matched = stage(found.join(prints, "print", "left_semi").select(*KEY, "line", "stretch"), "line-matches")
+    matched = found.join(prints, "print", "left_semi").select(*KEY, F.col("line").alias("head"), F.posexplode("stretches").alias("k", "stretch"))
+    matched = stage(matched.select(*KEY, (F.col("head") + F.col("k")).alias("line"), "stretch"), "line-matches")
     here = F.struct(*KEY, "line")
     firsts = matched.groupBy("stretch").agg(F.min(here).alias("first"), F.max(here).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last")))
     firsts = stage(firsts.select("stretch", "first"), "line-firsts")

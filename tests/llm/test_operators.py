@@ -360,3 +360,18 @@ def test_line_dedup_of_other_lengths(spark, run):
     out = lines.deduplicated(spark.createDataFrame(table, "doc_id long, text string"), run)
     same(out.select("_row.doc_id", "text", "n_lines", "n_removed").collect(), want)
     assert next(w[3] for w in want if w[0] == 101) == run
+
+
+def test_line_fingerprints_are_winnowed(spark):
+    rng = random.Random(3)
+    table = spark.createDataFrame([(i, [rng.randint(-3, 3) for _ in range(n)]) for i, n in enumerate((0, 4, 5, 6, 40, 200))], "doc_id long, h array<long>")
+    gram = lambda k: F.xxhash64(*[F.get("h", F.lit(k + j)) for j in range(lines.GRAM)])
+    grams = {r[0]: r[1] for r in table.select("doc_id", F.array(*[gram(k) for k in range(200)])).collect()}
+    got = table.select("doc_id", F.size("h").alias("n"), lines._fingerprints(F.col("h"), lines.RUN).alias("s")).collect()
+    for r in got:
+        picked = {}
+        for j in range(r["n"] - lines.RUN + 1):
+            window = grams[r["doc_id"]][j : j + lines.WINDOW]
+            picked.setdefault(j + window.index(min(window)), []).append(j)
+        assert [(s["line"], s["print"], len(s["stretches"])) for s in r["s"]] == [(own[0], grams[r["doc_id"]][at], len(own)) for at, own in picked.items()]
+    assert len(got[-1]["s"]) < 0.7 * (200 - lines.RUN + 1)
