@@ -5,9 +5,10 @@ laid over consecutive tokens and hashes those at its marked positions only, so
 a substituted token at an unmarked position does not hide a match. Hashes of
 benchmark items are joined with those of all documents; a hit names an item, a
 document and the offset between them. Around each hit the overlap is verified
-token by token: the best stretch on that offset, where an equal token counts
-one and another one less `PENALTY`, must have `LEAST` equal tokens (all tokens
-of a shorter item but one in `LEAST`).
+token by token: a stretch on that offset, where an equal token counts one and
+another one less `PENALTY`, must have `LEAST` equal tokens (all tokens of a
+shorter item but one in `LEAST`). Every maximal-scoring stretch is tested, not
+only the best one of the offset.
 
 An item shorter than a mask is looked up whole, as one run of equal tokens;
 items of fewer than `SHORTEST` tokens are too general and match nothing.
@@ -104,18 +105,48 @@ class Index:
         return np.unique(np.concatenate(out), axis=0)
 
 
+def stretches(equal: np.ndarray) -> list[tuple[int, int, int]]:
+    """All maximal-scoring stretches (Ruzzo and Tompa): start, end, score. Disjoint, in order."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).view(np.int8))).tolist()
+    # start, end, score before the start, score at the end
+    found: list[tuple[int, int, int, int]] = []
+    done = score = 0
+    for start, end in zip(edge[::2], edge[1::2], strict=True):
+        before = score - PENALTY * (start - done)
+        done, score = end, before + end - start
+        k = len(found) - 1
+        while k >= 0:
+            if found[k][2] < before:
+                if found[k][3] >= score:
+                    break
+                start, before = found[k][0], found[k][2]
+                del found[k:]
+            k -= 1
+        found.append((start, end, before, score))
+    return [(start, end, after - before) for start, end, before, after in found]
+
+
+def _aligned(item: np.ndarray, text: np.ndarray, offset: int) -> tuple[np.ndarray, int]:
+    """Which tokens on an offset are equal, and where in the text they begin."""
+    low, high = max(0, -offset), min(len(item), len(text) - offset)
+    return item[low:high] == text[offset + low : offset + high], offset + low
+
+
 def overlap(item: np.ndarray, text: np.ndarray, offset: int) -> tuple[int, int, int]:
     """Equal tokens, start and end (in the text) of the best stretch on an offset."""
-    low, high = max(0, -offset), min(len(item), len(text) - offset)
-    equal = item[low:high] == text[offset + low : offset + high]
-    gain = np.concatenate([[0], np.cumsum(np.where(equal, 1, -PENALTY))])
-    rise = gain - np.minimum.accumulate(gain)
-    end = int(rise.argmax())
-    start = end - 1
-    while start > 0 and gain[start] > gain[end] - rise[end]:
-        start -= 1
-    start = max(0, start)
-    return int(equal[start:end].sum()), offset + low + start, offset + low + end
+    equal, first = _aligned(item, text, offset)
+    start, end, _ = max(stretches(equal), key=lambda s: s[2], default=(0, 0, 0))
+    return int(equal[start:end].sum()), first + start, first + end
+
+
+def verified(item: np.ndarray, text: np.ndarray, offset: int) -> tuple[int, int, int] | None:
+    """Equal tokens, start and end (in the text) of the stretch with most equal tokens, if they are enough."""
+    equal, first = _aligned(item, text, offset)
+    least = needed(len(item))
+    if equal.sum() < least:
+        return None
+    most, back, end = max((int(equal[a:b].sum()), -a, b) for a, b, _ in stretches(equal))
+    return (most, first - back, first + end) if most >= least else None
 
 
 def needed(n_tokens: int) -> int:
@@ -150,8 +181,8 @@ def found_in(chunk: ta.Chunk, index: Index) -> dict[tuple[int, int], tuple[int,
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for text, item, offset in index.hits(words).tolist():
         own = words.hashes[words.first[text] : words.first[text] + words.counts[text]]
-        equal, start, end = overlap(index.tokens[item], own, offset)
-        if equal >= needed(len(index.tokens[item])):
+        if stretch := verified(index.tokens[item], own, offset):
+            equal, start, end = stretch
             key = (text, index.ids[item])
             best[key] = max(best.get(key, (0, 0, 0)), (equal, -start, end))
     return {key: (equal, -start, end) for key, (equal, start, end) in best.items()}

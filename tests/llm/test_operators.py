@@ -375,3 +375,32 @@ def test_line_fingerprints_are_winnowed(spark):
             picked.setdefault(j + window.index(min(window)), []).append(j)
         assert [(s["line"], s["print"], len(s["stretches"])) for s in r["s"]] == [(own[0], grams[r["doc_id"]][at], len(own)) for at, own in picked.items()]
     assert len(got[-1]["s"]) < 0.7 * (200 - lines.RUN + 1)
+
+
+def test_every_stretch_of_an_offset_is_tested():
+    item = [f"w{k}" for k in range(32)]
+    text = [x if k < 11 or 17 <= k and k not in (21, 26) else f"other{k}" for k, x in enumerate(item)]
+    chunk = next(ta.chunks([" ".join(["before"] * 3 + text)]))
+    assert decontamination.found_in(chunk, decontamination.Index([7], [" ".join(item)])) == {(0, 7): (13, 20, 35)}
+
+
+def test_stretches_by_definition():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        equal = rng.random(int(rng.integers(0, 25))) < rng.choice([0.4, 0.7, 0.9])
+        gain = [1 if e else -decontamination.PENALTY for e in equal]
+
+        def split(a, b):
+            """The best stretch (of these the longest, then the first), and the same left and right of it."""
+            best = max(((sum(gain[i:j]), j - i, -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            if best[0] <= 0:
+                return []
+            score, size, i = best[0], best[1], -best[2]
+            return [*split(a, i), (i, i + size, score), *split(i + size, b)]
+
+        got = decontamination.stretches(equal)
+        assert [s[2] for s in got] == [sum(gain[a:b]) for a, b, _ in got]
+        assert sorted(s[2] for s in got)[-1:] == sorted(s[2] for s in split(0, len(equal)))[-1:]
+        assert sum(int(equal[a:b].sum()) for a, b, _ in got) == int(equal.sum())
+        assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
+        assert all(sum(gain[a:k]) > 0 and sum(gain[k:b]) > 0 for a, b, _ in got for k in range(a + 1, b))
