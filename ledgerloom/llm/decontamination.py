@@ -1,6 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Texts become tokens: lower-cased maximal runs of letters and digits. A mask is
+Texts become tokens: lower-cased maximal runs of letters and digits; in scripts
+written without spaces every letter is a token (marks separate tokens, as
+everywhere, and are not compared). A mask is
 laid over consecutive tokens and hashes those at its marked positions only, so
 a substituted token at an unmarked position does not hide a match. Hashes of
 benchmark items are joined with those of all documents; a hit names an item, a
@@ -11,7 +13,8 @@ shorter item but one in `LEAST`). Every maximal-scoring stretch is tested, not
 only the best one of the offset.
 
 An item shorter than a mask is looked up whole, as one run of equal tokens;
-items of fewer than `SHORTEST` tokens are too general and match nothing.
+items of fewer than `SHORTEST` tokens are too general and match nothing, unless
+they have `LONG_CHARS` letters and digits.
 
 Defined results: null and empty texts match nothing. Repeated items count once
 per item_id; a null item_id is left out. Repeated rows get the same result.
@@ -36,21 +39,32 @@ MASKS = ("11101100101", "11010011011", "10110110011")
 LEAST = 12
 PENALTY = 2
 SHORTEST = 5
+# letters and digits of an item of fewer tokens that is looked up all the same
+LONG_CHARS = 32
+# Han, kana, bopomofo, Yi, and the scripts of South East Asia that put no spaces between words
+UNSPACED = (
+    (0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x2FDF), (0x3005, 0x312F),
+    (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+    (0xFF66, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+)
 # tokens of the benchmark that one pass over the documents looks for
 PASS_TOKENS = 2_000_000
 
 
 @cache
-def _token_tables() -> tuple[np.ndarray, np.ndarray]:
+def _token_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     chars = [chr(i) for i in range(0x110000)]
     inside = np.array([c.isalnum() for c in chars])
     lower = np.array([ord(l) if len(l := c.lower()) == 1 else i for i, c in enumerate(chars)], np.uint32)
-    return inside, lower
+    alone = np.zeros(len(chars), bool)
+    for low, high in UNSPACED:
+        alone[low : high + 1] = True
+    return inside, lower, alone
 
 
 def tokens(chunk: ta.Chunk) -> ta.Words:
-    inside, lower = _token_tables()
-    return ta.words(chunk, inside[chunk.chars], lower[chunk.chars])
+    inside, lower, alone = _token_tables()
+    return ta.words(chunk, inside[chunk.chars], lower[chunk.chars], alone[chunk.chars])
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -62,9 +76,9 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return ta.mix(out)
 
 
-def masks_for(n_tokens: int) -> tuple[str, ...]:
+def masks_for(n_tokens: int, n_chars: int) -> tuple[str, ...]:
     """The masks of an item: spaced ones, or the whole of a short item."""
-    if n_tokens < SHORTEST:
+    if n_tokens < SHORTEST and n_chars < LONG_CHARS:
         return ()
     fitting = tuple(m for m in MASKS if len(m) <= n_tokens)
     return fitting if len(fitting) == len(MASKS) else ("1" * n_tokens,)
@@ -75,10 +89,11 @@ class Index:
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         self.ids = ids
-        self.tokens = [tokens(next(ta.chunks([t]))).hashes for t in texts]
+        words = [tokens(next(ta.chunks([t]))) for t in texts]
+        self.tokens = [w.hashes for w in words]
         found: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for k, item in enumerate(self.tokens):
-            for mask in masks_for(len(item)):
+            for mask in masks_for(len(item), int((words[k].ends - words[k].starts).sum())):
                 s = seeds(item, mask)
                 found.setdefault(mask, []).append((s, np.full(len(s), k), np.arange(len(s))))
         self.seeds = {}

@@ -103,12 +103,15 @@ def chunks(texts: list[str | None], limit: int = CHUNK_CHARS) -> Iterator[Chunk]
             begin, size = i + 1, 0
 
 
-def words(chunk: Chunk, inside: np.ndarray | None = None, chars: np.ndarray | None = None) -> Words:
-    """Maximal runs of characters that are `inside` a word (default: not ASCII white space)."""
+def words(chunk: Chunk, inside: np.ndarray | None = None, chars: np.ndarray | None = None, alone: np.ndarray | None = None) -> Words:
+    """Maximal runs of characters that are `inside` a word (default: not ASCII white space); one `alone` is a word of its own."""
     chars = chunk.chars if chars is None else chars
     inside = ~is_space(chars) if inside is None else inside
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
+    if alone is not None:
+        cut = np.flatnonzero(inside[1:] & inside[:-1] & (alone[1:] | alone[:-1])) + 1
+        starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
     if not len(starts):
         zero = np.zeros(len(chunk.first), np.int64)
         return Words(starts, ends, np.zeros(0, np.uint64), zero, zero)

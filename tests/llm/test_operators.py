@@ -404,3 +404,20 @@ def test_stretches_by_definition():
         assert sum(int(equal[a:b].sum()) for a, b, _ in got) == int(equal.sum())
         assert all(a[1] < b[0] for a, b in zip(got, got[1:]))
         assert all(sum(gain[a:k]) > 0 and sum(gain[k:b]) > 0 for a, b, _ in got for k in range(a + 1, b))
+
+
+def test_decontamination_without_spaces(spark):
+    rng = random.Random(12)
+    han, thai = ["".join(chr(k) for k in range(*r)) for r in ((0x4E00, 0x5200), (0x0E01, 0x0E2E))]
+    clauses = lambda letters, *sizes: "\u3002".join("".join(rng.choices(letters, k=n)) for n in sizes)
+    long_words = "Donaudampfschifffahrtsgesellschaft, Hauptversammlung"
+    items = [(1, clauses(han, 14, 11)), (2, clauses(han, 9, 12, 8, 10, 7, 9)), (3, clauses(thai, 30)), (4, clauses(han, 7)), (5, clauses(han, 4)), (6, long_words), (7, "two short words")]
+    around = lambda text, letters: "".join(rng.choices(letters, k=50)) + text + "".join(rng.choices(letters, k=50))
+    table = [(i, around(f" {text} " if i > 5 else text, "abc " if i > 5 else thai if i == 3 else han)) for i, text in items]
+    table += [(10, clauses(han, 300)), (11, clauses(thai, 300)), (12, long_words[:34]), (13, None)]
+    changed = list(items[1][1])
+    changed[15] = "x"
+    table.append((14, around("".join(changed), han)))
+    out = decontamination.judged(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r["doc_id"]: r["items"] for r in out.filter("contaminated").collect()}
+    assert got == {1: [1], 2: [2], 3: [3], 4: [4], 6: [6], 14: [2]}
