@@ -5,8 +5,9 @@ written without spaces every letter is a token (marks separate tokens, as
 everywhere, and are not compared). A mask is
 laid over consecutive tokens and hashes those at its marked positions only, so
 a substituted token at an unmarked position does not hide a match. Hashes of
-benchmark items are joined with those of all documents; a hit names an item, a
-document and the offset between them. Around each hit the overlap is verified
+all documents are looked up among those of the benchmark items, which pass
+through the driver and are broadcast in parts of bounded size; a hit names an
+item, a document and the offset between them. Around each hit the overlap is verified
 token by token: a stretch on that offset, where an equal token counts one and
 another one less `PENALTY`, must have `LEAST` equal tokens (all tokens of a
 shorter item but one in `LEAST`). Every maximal-scoring stretch is tested, not
