@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 from pathlib import Path
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import configure, stage
 
-__all__ = ["BATCH_ROWS", "keyed", "null_safe", "prepare", "stage", "table", "word_array"]
+__all__ = ["BATCH_ROWS", "batch_rows", "keyed", "null_safe", "prepare", "stage", "table", "word_array"]
 
 # rows of one Arrow batch: a few hundred long documents stay in the tens of MB
 BATCH_ROWS = 400
@@ -46,6 +47,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Another size of Arrow batches for the jobs started inside, for tables of narrow rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 

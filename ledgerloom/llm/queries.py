@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, decontamination, language, lines, mixture, near_duplicates, passages, quality, secrets, sharding
+from ledgerloom.llm import chat, collocations, decontamination, language, lines, mixture, near_duplicates, passages, quality, runs, secrets, sharding
 from ledgerloom.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,13 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = lines.deduplicated(table(spark, folder, "documents"))
     return out.select(F.col("_row.doc_id").alias("doc_id"), "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+@query
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(table(spark, folder, "documents"), runs.planted))
