@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, collocations, decontamination, language, lines, mixture, near_duplicates, passages, quality, runs, secrets, sharding
+from ledgerloom.llm import boosted, chat, collocations, decontamination, language, lines, mixture, near_duplicates, passages, quality, runs, secrets, sharding
 from ledgerloom.llm.common import table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,11 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.digest(runs.periodic_runs(table(spark, folder, "documents"), runs.planted))
+
+
+@query
+def op13_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held = boosted.held_out(F.col("doc_id"))
+    model = boosted.fit(docs.filter(~held), labels.filter(~held))
+    return boosted.scored(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
