@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator, Sequence
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.session import configure, stage
 
-__all__ = ["BATCH_ROWS", "batch_rows", "keyed", "null_safe", "prepare", "stage", "table", "word_array"]
+__all__ = ["BATCH_ROWS", "batch_rows", "keyed", "null_safe", "prepare", "release", "stage", "table", "word_array"]
 
 # rows of one Arrow batch: a few hundred long documents stay in the tens of MB
 BATCH_ROWS = 400
@@ -59,6 +60,12 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no table needs any more; it does so when the driver's JVM collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{folder}/{name}.parquet")
 
