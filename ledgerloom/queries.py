@@ -21,6 +21,7 @@ from ledgerloom.sources import given_tables, readers, sinks
 from ledgerloom.streaming.landing import decode, start_landing, with_reasons
 from ledgerloom.streaming.refresh import LANDED, VELOCITY_COLUMNS, refresh, start_refresh, start_scoring
 from ledgerloom.streaming.replay import replay_statuses
+from ledgerloom.streaming.velocity import start_velocity
 from ledgerloom.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -983,6 +984,18 @@ def stream_features(t: Tables) -> DataFrame:
     return t.spark.read.parquet(features).select("transaction_id", "card_id", *VELOCITY_COLUMNS)
 
 
+@query
+def stream_velocity(t: Tables) -> DataFrame:
+    """Velocity features answered inside the stream from keyed state: three runs of one stream, each going on from the last checkpoint."""
+    base = scratch_path(t.spark, "stream-velocity")
+    day = F.dayofmonth("date")
+    for part in (t.landing.filter(day <= 10), t.landing.filter((day > 10) & (day <= 20)), t.landing.filter(day > 20)):
+        part.write.mode("append").parquet(f"{base}/landed")
+        stream = t.spark.readStream.schema(part.schema).parquet(f"{base}/landed")
+        start_velocity(stream, f"{base}/answers", f"{base}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{base}/answers").select("transaction_id", "card_id", *VELOCITY_COLUMNS)
+
+
 # --- models -------------------------------------------------------------------------------
 
 # settings of the registered forecast queries: fewer rounds at a higher rate than the defaults

@@ -46,6 +46,7 @@ VELOCITY = (
     "card_txn_count_1h card_txn_count_24h card_txn_count_7d card_amount_sum_24h card_errors_7d card_amount_sum_prior_24h"
 )
 SQL["incremental_mart"] = from_mart("transaction_id card_id " + VELOCITY)
+SQL["stream_velocity"] = SQL["incremental_mart"]
 SQL["stream_features"] = query(GOOD, f"""
 , e AS (SELECT id AS transaction_id, card_id, abs(CAST(replace(amount,'$','') AS DECIMAL(18,2))) AS x,
     epoch_us(moment)//1000000 AS s, CASE WHEN trim(errors) <> '' THEN 1 ELSE 0 END AS err FROM good)
