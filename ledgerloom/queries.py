@@ -18,7 +18,7 @@ from ledgerloom.plans import explore, fraud_mart, models, monthly, questions, su
 from ledgerloom.session import scratch_path, stage
 from ledgerloom.sources import given_tables, readers, sinks
 from ledgerloom.streaming.landing import decode, start_landing, with_reasons
-from ledgerloom.streaming.refresh import LANDED, VELOCITY_COLUMNS, refresh, start_refresh, start_scoring
+from ledgerloom.streaming.refresh import LANDED, VELOCITY_COLUMNS, refresh, refresh_mart, start_refresh, start_scoring
 from ledgerloom.streaming.replay import replay_statuses
 from ledgerloom.streaming.velocity import start_velocity
 from ledgerloom.tables import Tables
@@ -972,6 +972,19 @@ def incremental_mart(t: Tables) -> DataFrame:
     return t.spark.read.parquet(features).select("transaction_id", "card_id", *VELOCITY_COLUMNS)
 
 
+@query
+def incremental_mart_all(t: Tables) -> DataFrame:
+    """All columns of the mart, refreshed in three steps whose rows arrive out of order."""
+    base = scratch_path(t.spark, "incremental-all")
+    landing, mart = f"{base}/landing", f"{base}/mart"
+    day = F.dayofmonth("date")
+    for part in (t.landing.filter(day > 20), t.landing.filter(day <= 10), t.landing.filter((day > 10) & (day <= 20))):
+        part.write.mode("append").parquet(landing)
+        landed = t.spark.read.schema(part.schema).parquet(landing)
+        refresh_mart(landed, part, mart, t.mcc, t.cards, t.users)
+    return t.spark.read.parquet(mart).select(*fraud_mart.MART_COLUMNS)
+
+
 @query
 def stream_features(t: Tables) -> DataFrame:
     """Velocity features kept current by the landing stream."""

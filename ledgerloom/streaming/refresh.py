@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,10 +17,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerloom.functions.scalars import epoch_seconds
 from ledgerloom.operators.staging import stage_transactions
 from ledgerloom.operators.windows import ENTITY_ROWS, Span, add_features, heavy_entities
-from ledgerloom.plans.fraud_mart import CARD_FEATURES
+from ledgerloom.plans.fraud_mart import CARD_FEATURES, fraud_features
+from ledgerloom.session import discard, stage, stage_at
 from ledgerloom.streaming.landing import land_batch
 
 REACH_DAYS = 7
+MART_BUCKETS = 64
 VELOCITY = [f for f in CARD_FEATURES if isinstance(f, Span)]
 VELOCITY_COLUMNS = (
     "card_txn_count_1h card_txn_count_24h card_txn_count_7d card_amount_sum_24h card_errors_7d "
@@ -76,6 +79,43 @@ def land_and_refresh(raw: DataFrame, batch_id: int, landing: str, quarantine: st
         refresh(raw.sparkSession, landing, features, span.first, span.last)
 
 
+def _of_keys(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows that share a client or a card with one of the chosen rows; a missing key is a key of its own."""
+    marked = rows
+    for key in ("client_id", "card_id"):
+        keys = chosen.select(F.col(key).alias(f"_{key}"), F.lit(True).alias(f"_has_{key}")).distinct()
+        marked = marked.join(keys, F.col(key).eqNullSafe(F.col(f"_{key}")), "left").drop(f"_{key}")
+    return marked.filter("_has_client_id OR _has_card_id").drop("_has_client_id", "_has_card_id")
+
+
+def refresh_mart(landed: DataFrame, batch: DataFrame, mart: str, mcc: DataFrame, cards: DataFrame, users: DataFrame, buckets: int = MART_BUCKETS) -> None:
+    """Bring all columns of a saved mart up to date with the rows of ``batch``, which have landed already.
+
+    Every row of a client or card in the batch can change (its home state, its maxima, the
+    rows after a late one), and no other row can. These rows are computed again from all rows
+    of their clients and cards, whatever the order of arrival. The mart is kept in buckets by
+    client; the buckets they lie in are replaced, so running a batch again changes nothing.
+    """
+    spark = landed.sparkSession
+    keys = stage(batch.select("client_id", "card_id").distinct(), "batch-keys")
+    changed = stage(_of_keys(landed, keys).select(F.col("id").alias("transaction_id"), "client_id", "card_id"), "changed")
+    needed = _of_keys(landed, changed)
+    ids = changed.select("transaction_id").distinct()
+    bucket = F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int")
+    fresh = fraud_features(stage_transactions(needed), mcc, cards, users).join(ids, "transaction_id", "left_semi").withColumn("bucket", bucket)
+    touched = [r.bucket for r in changed.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+    try:
+        kept = spark.read.schema(fresh.schema).parquet(mart).filter(F.col("bucket").isin(touched)).join(ids, "transaction_id", "left_anti")
+        fresh = fresh.unionByName(kept.select(*fresh.columns))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    # written apart first: the buckets replaced are also read
+    whole, path = stage_at(fresh, "mart")
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(mart)
+    discard(spark, path)
+
+
 def start_refresh(stream: DataFrame, landing: str, quarantine: str, features: str, checkpoint: str) -> StreamingQuery:
     return (
         stream.writeStream.foreachBatch(lambda b, n: land_and_refresh(b, n, landing, quarantine, features))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles.base import LANDING, query
-from oracles.relational import from_mart
+from oracles.relational import MART_COLUMNS, from_mart
 
 SQL: dict[str, str] = {}
 
@@ -57,3 +57,4 @@ SELECT transaction_id, card_id, COUNT(*) OVER h1 - 1 AS card_txn_count_1h, COUNT
 FROM e WINDOW h1 AS (PARTITION BY card_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW),
   h24 AS (PARTITION BY card_id ORDER BY s RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW),
   d7 AS (PARTITION BY card_id ORDER BY s RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)""")
+SQL["incremental_mart_all"] = from_mart(MART_COLUMNS)

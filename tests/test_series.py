@@ -1,4 +1,5 @@
-from datetime import date, datetime
+import random
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pandas as pd
@@ -151,3 +152,30 @@ def test_forecast_matrix_has_36_features(tables, column):
     assert len(monthly.FORECAST_COLUMNS) == 36 and column in monthly.FORECAST_COLUMNS
     assert tables.forecast_features.columns[3:] == monthly.FORECAST_COLUMNS
     assert tables.forecast_features.select(F.count_if(F.col(column).isNotNull())).first()[0] > 0
+
+
+def test_range_totals_of_overlapping_requests(spark):
+    rng = random.Random(2)
+    first = datetime(2011, 1, 1)
+    rows = [(rng.randint(1, 3), first + timedelta(hours=12 * rng.randint(0, 80)), Decimal(rng.randint(-900, 900)) / 100, "5000") for _ in range(300)]
+    ledger = spark.createDataFrame(rows, "client_id bigint, transaction_date timestamp_ntz, amount decimal(18,2), mcc string")
+    days = [first.date() + timedelta(days=k) for k in range(-3, 45)]
+    asked = [(f"r{i}", rng.choice([1, 2, 3, 9, None]), rng.choice([*days, None]), rng.choice([*days, None])) for i in range(150)]
+    requests = spark.createDataFrame(asked, "request_id string, client_id bigint, start_date date, end_date date")
+    want = {}
+    for key, client, start, end in asked:
+        inside = [a for c, w, a, _ in rows if None not in (client, start, end) and c == client and start <= w.date() and w <= datetime.combine(end, datetime.min.time())]
+        want[key] = (float(sum(a for a in inside if a > 0)), float(sum(a for a in inside if a < 0))) if inside else (None, None)
+    got = {r.request_id: (r.earnings, r.expenses) for r in summaries.earnings_and_expenses(ledger, requests).collect()}
+    assert got == want and sum(v != (None, None) for v in want.values()) > 30
+    assert summaries.earnings_and_expenses(ledger, requests.filter("false")).count() == 0
+
+
+def test_range_and_clients_reach_one_scan_of_the_ledger(spark, tables):
+    asked = summaries.single_request(tables.ledger, 7, "1996-01-01", "1996-03-01")
+    daily = summaries.daily_totals(summaries.asked_rows(tables.ledger, asked), "mcc")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    plan = daily._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scans = [line for line in plan.split("\n") if "FileScan parquet" in line and "o_orderdate" in line]
+    assert len(scans) == 1 and "GreaterThanOrEqual(o_orderdate" in scans[0] and "LessThanOrEqual(o_orderdate" in scans[0]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from ledgerloom.sources import schemas
 from ledgerloom.streaming import replay
 from ledgerloom.streaming.landing import decode, kept_quarantine, land_batch, start_landing
-from ledgerloom.streaming.refresh import LANDED, VELOCITY_COLUMNS, refresh, start_refresh, velocity
+from ledgerloom.plans.fraud_mart import MART_COLUMNS
+from ledgerloom.streaming.refresh import LANDED, VELOCITY_COLUMNS, refresh, refresh_mart, start_refresh, velocity
 
 
 def raw(spark, rows):
@@ -99,3 +100,16 @@ def test_cut_entities_refresh_to_the_same_features(spark, tables, folder):
     got = spark.read.parquet(f"{folder}/features").select(*key).toPandas().sort_values("transaction_id").reset_index(drop=True)
     want = velocity(tables.landing).select(*key).toPandas().sort_values("transaction_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(got, want)
+
+
+def test_all_mart_columns_follow_late_rows_and_repeated_batches(spark, tables, folder):
+    landing, mart = f"{folder}/landing", f"{folder}/mart"
+    late, rest = F.col("client_id") % 5 == 1, F.dayofmonth("date") < 12
+    parts = [tables.landing.filter(~late), tables.landing.filter(late & ~rest), tables.landing.filter(late & rest)]
+    for part in parts:
+        part.write.mode("append").parquet(landing)
+        landed = spark.read.schema(part.schema).parquet(landing)
+        refresh_mart(landed, part, mart, tables.mcc, tables.cards, tables.users)
+    refresh_mart(landed, parts[1], mart, tables.mcc, tables.cards, tables.users)
+    read = lambda df: df.select(*MART_COLUMNS).toPandas().sort_values("transaction_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(read(spark.read.parquet(mart)), read(tables.mart()), check_dtype=False)
