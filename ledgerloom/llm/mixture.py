@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stage, word_array
+from ledgerloom.llm.common import null_safe, stage, word_array
 
 BLOCK_WORDS = 64
 MOST = 3
@@ -58,26 +58,39 @@ def waterfill(sizes: list[int], weights: list[int], most: float = MOST) -> list[
 def _rows(docs: DataFrame, text: bool) -> DataFrame:
     """doc_id, source, size and a row number `_row`, with the other columns in `_rest`; staged, since the number must not change."""
     rest = [F.col(c) for c in docs.columns if c != "text"] if text else []
-    columns = ["doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), F.monotonically_increasing_id().alias("_row")]
+    columns = ["doc_id", "source", F.size(word_array(F.col("text"))).cast("long").alias("size"), F.xxhash64("text").alias("_fp"), F.monotonically_increasing_id().alias("_row")]
     return stage(docs.select(*columns, *([F.struct(*rest).alias("_rest"), "text"] if text else [])), "mixture-rows")
 
 
 def _streams(rows: DataFrame) -> DataFrame:
     """First word of every document in its source's stream: totals of the packs before, then order inside the pack.
 
-    Rows are dealt to about as many packs as a pack has rows, so both orders stay
+    The place depends on doc_id and text alone, never on where a row is stored. Equal rows
+    stand side by side; which is which changes nothing, so they are numbered by partition.
+    Documents are dealt to about as many packs as a pack has documents, so both orders stay
     small for a source of any size.
     """
-    narrow = rows.select("_row", "source", "doc_id", "size")
+    same = ["source", "doc_id", "_fp"]
     packs = math.isqrt(rows.count()) + 1
-    narrow = narrow.withColumn("_pack", F.pmod(F.xxhash64("doc_id", F.col("_row")), F.lit(packs)))
+    # a row number holds the number of its partition in its upper bits
+    narrow = rows.select(*same, "size", "_row", F.shiftrightunsigned("_row", 33).alias("_part"))
+    copies = narrow.groupBy(*same, "_part").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+    nth = Window.partitionBy(*same).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    copies = copies.withColumn("_earlier", F.coalesce(F.sum("n").over(nth), F.lit(0)))
+
+    whole = copies.groupBy(*same).agg(F.sum(F.col("n") * F.col("size")).alias("words"))
+    whole = whole.withColumn("_pack", F.pmod(F.xxhash64("doc_id", "_fp"), F.lit(packs)))
     by_source = Window.partitionBy("source").orderBy("_pack").rowsBetween(Window.unboundedPreceding, -1)
-    before = narrow.groupBy("source", "_pack").agg(F.sum("size").alias("n"))
-    before = before.select(F.col("source").alias("_source"), F.col("_pack").alias("_p"), F.coalesce(F.sum("n").over(by_source), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("source", "_pack").orderBy(F.col("doc_id").asc_nulls_last(), "_row")
-    placed = narrow.withColumn("_inside", F.sum("size").over(inside) - F.col("size"))
-    joined = placed.join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_pack") == F.col("_p")))
-    return joined.select("_row", "source", "size", (F.col("_before") + F.col("_inside")).alias("begin"))
+    before = whole.groupBy("source", "_pack").agg(F.sum("words").alias("n")).withColumn("_before", F.coalesce(F.sum("n").over(by_source), F.lit(0))).drop("n")
+    inside = Window.partitionBy("source", "_pack").orderBy(F.col("doc_id").asc_nulls_last(), "_fp")
+    placed = whole.withColumn("_inside", F.sum("words").over(inside) - F.col("words"))
+    placed = null_safe(placed, before, ["source", "_pack"]).select(*same, (F.col("_before") + F.col("_inside")).alias("_first"))
+
+    started = null_safe(copies, placed, same).select(*same, "_part", (F.col("_first") + F.col("_earlier") * F.col("size")).alias("_first"))
+    within = Window.partitionBy(*same, "_part").orderBy("_row")
+    numbered = narrow.withColumn("_copy", F.row_number().over(within) - 1)
+    joined = null_safe(numbered, started, [*same, "_part"])
+    return joined.select("_row", "source", "size", (F.col("_first") + F.col("_copy") * F.col("size")).alias("begin"))
 
 
 def source_plan(rows: DataFrame, block_words: int = BLOCK_WORDS, most: float = MOST) -> pd.DataFrame:
