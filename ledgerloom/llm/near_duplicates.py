@@ -6,14 +6,17 @@
 3. Nodes that share a band are linked to the least node of the bucket, never
    with each other; connected components of these links are candidate groups.
 4. Candidate groups are verified with the exact probability Jaccard similarity,
-   in units of bounded size that return the links of a spanning forest. First a
-   group is cut into chunks and each chunk, with the least node of the group,
-   is compared pair by pair. Then a group of several chunks is compared again,
-   but only what is not in its largest part so far, with the whole group: pairs
-   inside the largest part are connected already. No link between different
-   texts is lost, and a large group of near copies costs in proportion to its
-   size.
-5. Connected components of verified links are the classes.
+   in units of bounded size that return the parts they connect. First a group is
+   cut into chunks and each chunk, with up to `PIVOTS` nodes that most buckets of
+   the group lead to, is compared pair by pair. A group of one chunk is done.
+   Parts of other groups meet again if texts of them share a shingle of their
+   prefixes, which hold more than 1 - `LEAST` of a text's weight and begin with
+   what is in fewest pivots: a pair at the threshold always does. Of the parts that
+   meet, what is not in the largest one is compared with all of it. No link
+   between different texts is lost, a large group of near copies costs in
+   proportion to its size, and texts that share a template but not their own
+   words meet nobody.
+5. Connected components of the parts are the classes.
 
 Probability Jaccard similarity equals plain Jaccard similarity where no shingle
 occurs twice. A pair at the threshold `LEAST` shares one of the bands with a
@@ -28,7 +31,7 @@ Empty tables give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import textarrays as ta
 from ledgerloom.llm.common import stage
-from ledgerloom.llm.components import components
+from ledgerloom.llm.components import components, contracted
 
 SHINGLE = 5
 LEAST = 0.8
@@ -46,6 +49,8 @@ REGISTERS = BANDS * ROWS
 # nodes and shingles of one chunk of a candidate group
 CHUNK_NODES = 256
 CHUNK_SHINGLES = 1 << 20
+# nodes of a group of several chunks that every chunk is compared with, at most
+PIVOTS = 16
 
 
 def shingles(chunk: ta.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -153,13 +158,13 @@ def sketches(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(sketched, "doc_id long, node binary, shingles long, bands array<long>")
 
 
-def candidate_groups(nodes: DataFrame) -> DataFrame:
-    """(node, label): components of the links from every node to the least node of each of its buckets."""
+def candidate_groups(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, label): components of the links from every node to the least node of each of its buckets; (low, n): these least nodes and their links."""
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    least = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
-    least = stage(least.select("bucket", "low"), "near-buckets")
+    least = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high")
+    least = stage(least.select("bucket", "low", "n"), "near-buckets")
     links = members.join(least, "bucket").filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-    return components(links)
+    return components(links), least.groupBy("low").agg(F.sum("n").alias("n"))
 
 
 def _forest(sets: list[tuple[np.ndarray, np.ndarray]], left: range, right: range, parts: list[bytes]) -> list[tuple[int, int]]:
@@ -210,89 +215,178 @@ def _forest(sets: list[tuple[np.ndarray, np.ndarray]], left: range, right: range
     return links
 
 
-def verified_links(docs: DataFrame, nodes: DataFrame, groups: DataFrame) -> DataFrame:
-    """(a, b): links at the threshold or above that connect what is connected in each candidate group."""
-    sized = nodes.select("node", "first", "shingles").join(groups, "node")
-    totals = sized.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s"))
-    chunks = F.greatest(F.ceil(F.col("n") / CHUNK_NODES), F.ceil(F.col("s") / CHUNK_SHINGLES)).cast("int")
-    totals = stage(totals.select("label", chunks.alias("chunks")), "near-totals")
-    sized = stage(sized, "near-sized")
-    wanted = stage(sized.join(totals, "label").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")), "near-wanted")
-    wanted = wanted.select(F.col("first").alias("_first"), F.col("node").alias("_node"), "label", "chunks", "chunk", "shingles")
+def _prefix(key: np.ndarray, count: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Shingles of a text up to more than 1 - `LEAST` of its weight, those in fewest pivots (`seen`) first.
+
+    A pair at the threshold has `LEAST` of the weight of either text in common, so
+    its first common shingle is in both prefixes: what comes before has less weight.
+    """
+    order = np.lexsort((key, seen))
+    before = np.cumsum(count[order]) - count[order]
+    return key[order[before <= (1 - LEAST) * count.sum() * (1 + 1e-9)]]
+
+
+def _units(placed: DataFrame, keys: list[str], kind: str, close: Callable[[dict[str, list]], pa.RecordBatch]) -> DataFrame:
+    """`close` of the rows of every unit, which `keys` name; a unit's rows come in order of `side`."""
+    placed = placed.repartition(*keys).sortWithinPartitions(*keys, "side")
+
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, rows = None, None
+        for b in batches:
+            columns = {c: b.column(c) for c in b.schema.names}
+            plain = {c: v.to_pylist() for c, v in columns.items() if c not in ("shingle", "count")}
+            for r in range(len(b)):
+                name = tuple(plain[c][r] for c in keys)
+                if name != unit:
+                    if rows:
+                        yield close(rows)
+                    unit, rows = name, {c: [] for c in (*plain, "sets")}
+                for c, v in plain.items():
+                    rows[c].append(v[r])
+                # copies: the batch itself may go
+                rows["sets"].append((columns["shingle"][r].values.to_numpy().view(np.uint64).copy(), columns["count"][r].values.to_numpy().copy()))
+        if rows:
+            yield close(rows)
+
+    return placed.mapInArrow(closed, kind)
+
+
+def _parts(placed: DataFrame) -> DataFrame:
+    """(label, chunks, node, part, home, prefix) of the rows of units (label, i): parts are connected by links inside the unit.
+
+    A part is named by its least pivot or, without one, by its least node.
+    Groups of several chunks get the prefixes of their nodes.
+    """
+
+    def close(rows: dict[str, list]) -> pa.RecordBatch:
+        # a node of repeated rows once
+        once = sorted({x: i for i, x in enumerate(rows["node"])}.values())
+        rows = {c: [v[i] for i in once] for c, v in rows.items()}
+        nodes, sets, pivot = rows["node"], rows["sets"], rows["pivot"]
+        n = len(nodes)
+        lead = list(range(n))
+        for u, v in _forest(sets, range(n), range(n), nodes):
+            lead[_root(lead, u)] = _root(lead, v)
+        roots = [_root(lead, i) for i in range(n)]
+        name: dict[int, tuple[bool, bytes]] = {}
+        for r, p, x in zip(roots, pivot, nodes, strict=True):
+            name[r] = min(name.get(r, (True, b"\xff" * 17)), (not p, x))
+        prefixes: list[np.ndarray | None] = [None] * n
+        if rows["chunks"][0] > 1:
+            known, seen = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for (k, _), p in zip(sets, pivot, strict=True) if p]]), return_counts=True)
+            for i, (key, count) in enumerate(sets):
+                if rows["home"][i]:
+                    at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                    times = np.where(known[at] == key, seen[at], 0) if len(known) else np.zeros(len(key), np.int64)
+                    prefixes[i] = _prefix(key, count, times).view(np.int64)
+        out = [rows["label"], rows["chunks"], nodes, [name[r][1] for r in roots], rows["home"], prefixes]
+        kinds = [pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.bool_(), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], ["label", "chunks", "node", "part", "home", "prefix"])
+
+    return _units(placed, ["label", "i"], "label binary, chunks int, node binary, part binary, home boolean, prefix array<long>", close)
+
+
+def _root(lead: list[int], i: int) -> int:
+    while lead[i] != i:
+        lead[i] = lead[lead[i]]
+        i = lead[i]
+    return i
+
+
+def _linked(placed: DataFrame) -> DataFrame:
+    """(a, b): links between parts that texts of side 0 and of side 1 of a unit (label, i, j) make."""
+
+    def close(rows: dict[str, list]) -> pa.RecordBatch:
+        parts, left = rows["part"], rows["side"].count(0)
+        links = _forest(rows["sets"], range(left), range(left, len(parts)), parts)
+        return pa.RecordBatch.from_arrays([pa.array([parts[p[k]] for p in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return _units(placed, ["label", "i", "j"], "a binary, b binary", close)
+
+
+def _chunks(n: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(n / CHUNK_NODES), F.ceil(shingles / CHUNK_SHINGLES)).cast("int")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label): the classes of the nodes of candidate groups; `links` says how many links lead to a node."""
+    sized = stage(nodes.select("node", "first", "shingles").join(groups, "node").join(links.withColumnRenamed("low", "node"), "node", "left"), "near-sized")
+    totals = sized.groupBy("label").agg(_chunks(F.count(F.lit(1)), F.sum("shingles")).alias("chunks"))
+    totals = stage(totals, "near-totals")
+    # of each slice of a large group the node with most links
+    several = sized.filter("n IS NOT NULL").join(totals.filter("chunks > 1"), "label")
+    pivots = several.groupBy("label", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slice")).agg(F.max(F.struct("n", "node")).alias("most"))
+    pivots = pivots.select(F.col("most.node").alias("node"), F.lit(True).alias("pivot"))
+    wanted = sized.join(totals, "label").join(pivots, "node", "left")
+    wanted = wanted.withColumns({"pivot": F.coalesce("pivot", F.lit(False)), "chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")})
+    wanted = stage(wanted.select(F.col("first").alias("_first"), F.col("node").alias("_node"), "label", "chunks", "chunk", "pivot", "shingles"), "near-wanted")
     rows = docs.select(F.col("doc_id").cast("long"), node().alias("node"), "text")
     # the wanted nodes grow with the documents: never a broadcast, the same plan at every size
     rows = rows.join(wanted.hint("merge"), (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_first")))
+    kept = ["node", "label", "chunks", "chunk", "pivot"]
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk in ta.chunks(b.column("text").to_pylist()):
                 text, h, count, edge = shingles(chunk)
                 n, at = len(chunk.first), chunk.rows.start
-                kept = [b.column(c).slice(at, n) for c in ("node", "label", "chunks", "chunk")]
                 lists = [pa.ListArray.from_arrays(edge.astype(np.int32), pa.array(v)) for v in (h.view(np.int64), count.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([*kept, *lists], ["node", "label", "chunks", "chunk", "keys", "counts"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c).slice(at, n) for c in kept], *lists], [*kept, "shingle", "count"])
 
-    kind = "node binary, label binary, chunks int, chunk int, keys array<long>, counts array<int>"
+    kind = "node binary, label binary, chunks int, chunk int, pivot boolean, shingle array<long>, count array<int>"
     # repeated rows give the same node again, and a node does no harm twice
-    sets = stage(rows.select("node", "text", "label", "chunks", "chunk").mapInArrow(as_sets, kind), "near-sets")
-    # every chunk with the group's least node, which all of its nodes were linked to
-    hub = sets.filter("node = label").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("i <> chunk")
-    alone = sets.withColumn("i", F.col("chunk")).unionByName(hub)
-    alone = alone.select("label", "i", F.lit(0).alias("j"), F.lit(0).alias("side"), "chunks", "node", F.col("node").alias("part"), "keys", "counts")
-    links = stage(_linked(alone), "near-links")
-    # one chunk: all pairs are compared. Several: what the largest part leaves out goes on
-    several = wanted.filter("chunks > 1").select(F.col("_node").alias("node"), "label", "shingles")
-    parts = stage(components(links.filter("chunks > 1").select("a", "b")), "near-parts").withColumnRenamed("label", "part")
-    parts = stage(several.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")), "near-parts")
-    sizes = parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s"))
-    most = F.max(F.struct("n", "part", "s")).alias("most")
-    main = sizes.groupBy("label").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), most)
-    n, shingled = F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s")
-    rests = F.greatest(F.ceil(n / CHUNK_NODES), F.ceil(shingled / CHUNK_SHINGLES)).cast("int")
-    main = stage(main.filter(n > 0).select("label", F.col("most.part").alias("main"), rests.alias("rests")), "near-main")
+    sets = stage(rows.select("text", *kept).mapInArrow(as_sets, kind), "near-sets")
+    # every chunk with the pivots of its group
+    abroad = sets.filter("pivot AND chunks > 1").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("i <> chunk")
+    placed = sets.withColumns({"i": F.col("chunk"), "home": F.lit(True)}).unionByName(abroad.withColumn("home", F.lit(False)))
+    placed = placed.select("label", "i", F.lit(0).alias("side"), "chunks", "node", "pivot", "home", "shingle", "count")
+    found = stage(_parts(placed), "near-parts")
+    # one chunk: all pairs are compared. Several: a pivot may be in another part in each chunk
+    linked = found.filter("chunks > 1 AND node <> part").join(pivots.select("node"), "node", "left_semi")
+    linked = linked.select("label", F.col("node").alias("a"), F.col("part").alias("b"), F.lit(False).alias("open")).distinct()
+    # at most `PIVOTS` nodes a group: all links of a group meet in one partition
+    same = contracted(linked.repartition("label")).select(F.col("a").alias("part"), F.col("b").alias("whole"))
+    same = stage(same, "near-same")
+    parts = found.filter("chunks > 1 AND home").select("label", "node", "part", "prefix").join(same, "part", "left")
+    parts = stage(parts.withColumn("part", F.coalesce("whole", "part")).drop("whole"), "near-whole")
+    labels = found.filter("home").select("node", "part").join(same, "part", "left").select("node", F.coalesce("whole", "part").alias("part"))
+    again = _linked_again(sets, parts, wanted)
+    if again is None:
+        return labels.withColumnRenamed("part", "label")
+    classes = components(again).withColumnRenamed("node", "part")
+    return labels.join(classes, "part", "left").select("node", F.coalesce("label", "part").alias("label"))
+
+
+def _linked_again(sets: DataFrame, parts: DataFrame, wanted: DataFrame) -> DataFrame | None:
+    """(a, b): links between different parts of groups of several chunks; None if there are none to look for.
+
+    Only texts that share a shingle of their prefixes can be alike. Parts that do
+    are put together, again by links to the least one and components; inside them,
+    what is not in the largest part meets all others.
+    """
+    shared = parts.select("label", "part", F.explode("prefix").alias("key"))
+    least = shared.groupBy("label", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+    least = stage(least.select("label", "key", "low"), "near-prefixes")
+    if least.isEmpty():
+        return None
+    meet = shared.join(least, ["label", "key"]).filter("part <> low").select(F.col("part").alias("a"), F.col("low").alias("b"))
+    near = components(meet).select(F.col("node").alias("part"), F.col("label").alias("near"))
+    rows = parts.select("node", "part").join(near, "part").join(wanted.select(F.col("_node").alias("node"), "shingles"), "node")
+    rows = stage(rows, "near-rows")
+    sizes = rows.groupBy("near", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("s"))
+    main = sizes.groupBy("near").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "part", "s")).alias("most"))
+    rests = _chunks(F.col("n") - F.col("most.n"), F.col("s") - F.col("most.s"))
+    main = stage(main.select("near", F.col("most.part").alias("main"), rests.alias("rests"), _chunks(F.col("n"), F.col("s")).alias("chunks")), "near-main")
     rest = F.when(F.col("part") != F.col("main"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("rests")).cast("int"))
-    again = stage(parts.join(main, "label").select("node", "part", "rests", rest.alias("rest")), "near-again")
-    rows = sets.filter("chunks > 1").join(again.hint("merge"), "node")
-    shared = ["label", "i", "j", "side", "chunks", "node", "part", "keys", "counts"]
+    chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
+    again = rows.join(main, "near").select("node", "near", "part", "rests", "chunks", rest.alias("rest"), chunk.alias("chunk"))
+    rows = sets.select("node", "shingle", "count").join(stage(again, "near-again").hint("merge"), "node")
+    columns = [F.col("near").alias("label"), "i", "j", "side", "part", "shingle", "count"]
     left = rows.filter("rest IS NOT NULL").withColumns(
         {"i": F.col("rest"), "j": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(0)}
     )
     right = rows.withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("rests") - 1)), "j": F.col("chunk"), "side": F.lit(1)})
-    return links.unionByName(_linked(left.select(*shared).unionByName(right.select(*shared)))).select("a", "b")
-
-
-def _linked(placed: DataFrame) -> DataFrame:
-    """(a, b, chunks): new links inside every unit (label, i, j), between side 0 and side 1 or, without a side 1, inside side 0."""
-    placed = placed.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "side")
-
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, nodes, parts, sides, sets = None, [], [], [], []
-
-        def close() -> pa.RecordBatch:
-            split = sides.count(0)
-            left = range(split)
-            right = left if split == len(sides) else range(split, len(sets))
-            links = _forest(sets, left, right, parts)
-            columns = [pa.array([nodes[p[k]] for p in links], pa.binary()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([unit[3]] * len(links), pa.int32())], ["a", "b", "chunks"])
-
-        for b in batches:
-            keys, counts = b.column("keys"), b.column("counts")
-            names = zip(*[b.column(c).to_pylist() for c in ("label", "i", "j", "chunks", "side", "node", "part")], strict=True)
-            for r, (label, i, j, chunks, side, name, part) in enumerate(names):
-                if (label, i, j, chunks) != unit:
-                    if unit:
-                        yield close()
-                    unit, nodes, parts, sides, sets = (label, i, j, chunks), [], [], [], []
-                nodes.append(name)
-                parts.append(part)
-                sides.append(side)
-                # copies: the batch itself may go
-                sets.append((keys[r].values.to_numpy().view(np.uint64).copy(), counts[r].values.to_numpy().copy()))
-        if unit:
-            yield close()
-
-    return placed.mapInArrow(linked, "a binary, b binary, chunks int")
+    return stage(_linked(left.select(*columns).unionByName(right.select(*columns))), "near-links")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -300,8 +394,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = stage(sketches(docs), "near-sketches")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"))
     nodes = stage(nodes, "near-nodes")
-    groups = stage(candidate_groups(nodes), "near-groups")
-    labels = stage(components(stage(verified_links(docs, nodes, groups), "near-links")), "near-labels")
+    groups, links = candidate_groups(nodes)
+    labels = stage(verified(docs, nodes, groups, links), "near-labels")
     named = nodes.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # the least doc_id leads, a null one comes last
     leader = F.min(F.struct(F.col("first").isNull().alias("missing"), "first", "node")).alias("leader")
