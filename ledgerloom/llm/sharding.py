@@ -110,5 +110,9 @@ def sharded(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def write_shards(shards: DataFrame, path: str) -> None:
-    """One folder per shard; the rows of a shard meet in one task, which the byte limit bounds."""
-    shards.repartition(F.col("shard")).write.partitionBy("shard").parquet(path)
+    """One folder per shard; the rows of a shard meet in one task, which the byte limit bounds.
+
+    Folders are named by `s` and the bits, so that a reader takes no shard for a number or a null.
+    """
+    named = shards.withColumn("shard", F.concat(F.lit("s"), "shard"))
+    named.repartition(F.col("shard")).write.partitionBy("shard").parquet(path)
