@@ -236,6 +236,62 @@ def test_chunked_groups_lose_no_link(docs, monkeypatch):
     same(near_duplicates.near_duplicates(docs).select("doc_id", "class_id").collect(), [tuple(r) for r in whole])
 
 
+def test_written_shards_read_back(spark, tmp_path):
+    rows = [(1, "1"), (2, "01"), (3, "00"), (4, "")]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, shard string"), str(tmp_path / "shards"))
+    same(spark.read.parquet(str(tmp_path / "shards")).select("doc_id", "shard").collect(), [(i, f"s{b}") for i, b in rows])
+
+
+def test_chunked_families_and_templates_equal_all_pairs(spark, monkeypatch):
+    draw = random.Random(11)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(90)]
+        for _ in range(25):
+            text = list(base)
+            for _ in range(draw.randrange(1, 5)):
+                text[draw.randrange(90)] = f"x{draw.randrange(10**9)}"
+            texts.append(" ".join(text))
+    template = [f"t{k}" for k in range(60)]
+    for i in range(40):
+        texts.append(" ".join([*template, *[f"own{i // 2 if i < 10 else i}v{k}" for k in range(30)], *(["end"] if i % 2 else [])]))
+    rows = [(i, t) for i, t in enumerate(texts + texts[::7])] + [(0, texts[0]), (80, texts[80])]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for t in texts]
+    lead = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                lead = [lead[j] if x == lead[i] else x for x in lead]
+    number = {t: i for i, t in enumerate(texts)}
+    least = {}
+    for i, t in rows:
+        least[lead[number[t]]] = min(i, least.get(lead[number[t]], i))
+    assert 30 < len(least) < len(texts)
+    monkeypatch.setattr(near_duplicates, "CHUNK_NODES", 7)
+    monkeypatch.setattr(near_duplicates, "PIVOTS", 2)
+    # all of one bucket's nodes are candidates: one group of everything
+    monkeypatch.setattr(near_duplicates, "candidate_groups", one_group)
+    out = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    same(out.select("doc_id", "class_id").collect(), [(i, least[lead[number[t]]]) for i, t in rows])
+
+
+def one_group(nodes):
+    least = nodes.agg(F.min("node").alias("label"))
+    return nodes.select("node").crossJoin(least), nodes.select(F.col("node").alias("low"), F.lit(1).cast("long").alias("n"))
+
+
+def test_prefixes_of_alike_texts_meet():
+    draw = random.Random(2)
+    for _ in range(300):
+        keys = np.array(sorted(draw.sample(range(1000), 40)), np.uint64)
+        other = np.array(sorted({*keys[draw.randrange(6) :].tolist(), *draw.sample(range(1000), draw.randrange(5))}), np.uint64)
+        weights = [np.array([draw.randrange(1, 4) for _ in k], np.int32) for k in (keys, other)]
+        if near_duplicates.similarity(keys, weights[0], other, weights[1]) >= 0.8:
+            seen = np.array([draw.randrange(3) for _ in range(1000)])
+            parts = [near_duplicates._prefix(k, w, seen[k.astype(int)]) for k, w in zip((keys, other), weights, strict=True)]
+            assert set(parts[0].tolist()) & set(parts[1].tolist())
+
+
 @pytest.mark.parametrize("limit", [200, 2000, 10**9])
 def test_sharding(docs, rows, none, limit):
     out = sharding.sharded(docs, limit).cache()
