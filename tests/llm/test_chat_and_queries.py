@@ -65,7 +65,7 @@ def test_query_equals_its_statement(spark, name):
 
 def test_every_operator_is_registered():
     names = entry_points.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14)) and "pipeline" in names
 
 
 def test_pipeline(spark, rows):
