@@ -126,4 +126,4 @@ def train_forecast(monthly_mart: DataFrame, users: DataFrame, path: str, learner
 def forecast(targets: DataFrame, path: str) -> DataFrame:
     """Forecast (client_id, month, horizon) targets with the saved models."""
     latest = targets.sparkSession.read.parquet(f"{path}/client_features")
-    return models.forecast_batch(targets, latest, artifacts.load_forecast_models(path))
+    return models.forecast_batch(targets, latest, artifacts.load_forecast_models(targets.sparkSession, path))

@@ -130,9 +130,11 @@ def variance_decomposition(monthly: DataFrame) -> DataFrame:
         F.avg("total_expenses").alias("mean"),
         F.var_pop("total_expenses").alias("var"),
     )
-    n, mean = F.col("n"), F.col("mean")
+    # squares of distances from the overall mean: the difference of two large squares would lose digits
+    per_client = per_client.withColumn("overall", monthly.select(F.avg("total_expenses")).scalar())
+    n, off = F.col("n"), F.col("mean") - F.col("overall")
     within = F.try_divide(F.sum(n * F.col("var")), F.sum(n))
-    between = F.try_divide(F.sum(n * mean * mean), F.sum(n)) - F.pow(F.try_divide(F.sum(n * mean), F.sum(n)), F.lit(2))
+    between = F.try_divide(F.sum(n * off * off), F.sum(n))
     return per_client.agg(
         between.alias("between_clients"), within.alias("within_clients"), F.try_divide(between, between + within).alias("share")
     )

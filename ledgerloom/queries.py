@@ -16,10 +16,10 @@ from ledgerloom.operators.quantiles import exact_quantiles
 from ledgerloom.operators.windows import heavy_entities
 from ledgerloom.plans import explore, fraud_mart, models, monthly, questions, summaries
 from ledgerloom.session import scratch_path, stage
-from ledgerloom.sources import given_tables, readers, sinks
+from ledgerloom.sources import artifacts, given_tables, readers, sinks
 from ledgerloom.streaming.landing import decode, start_landing, with_reasons
 from ledgerloom.streaming.refresh import LANDED, VELOCITY_COLUMNS, refresh, refresh_mart, start_refresh, start_scoring
-from ledgerloom.streaming.replay import replay_statuses
+from ledgerloom.streaming.replay import replay_rest, replay_statuses, store_by_day
 from ledgerloom.streaming.velocity import start_velocity
 from ledgerloom.tables import Tables
 
@@ -87,6 +87,34 @@ def scan_dims(t: Tables) -> DataFrame:
     )
 
 
+def _table_name(path: str) -> str:
+    """A name that no other table has, from a scratch folder's own name."""
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
+@query
+def mart_fallback(t: Tables) -> DataFrame:
+    """The monthly mart from its files, since no table of the name exists."""
+    path = scratch_path(t.spark, "monthly-mart")
+    t.monthly.write.parquet(path)
+    return readers.read_mart(t.spark, f"{sinks.PRESENTATION}.{_table_name(path)}", path, t.monthly.columns)
+
+
+@query
+def ledger_buckets(t: Tables) -> DataFrame:
+    """The staged ledger saved in buckets by client; numbers and gaps of a client's rows, read without an exchange."""
+    rows = t.ledger.select("client_id", "transaction_date", "transaction_id", "amount")
+    path = scratch_path(t.spark, "ledger-buckets")
+    saved = sinks.save_buckets(rows, _table_name(path), ["client_id"], ["transaction_date", "transaction_id"], 8, path=path)
+    order = Window.partitionBy("client_id").orderBy("transaction_date", "transaction_id")
+    return saved.select(
+        "transaction_id",
+        "client_id",
+        F.row_number().over(order).cast("bigint").alias("number"),
+        F.lag("amount").over(order).alias("amount_before"),
+    )
+
+
 @query
 def explode_labels(t: Tables) -> DataFrame:
     event = F.col("event_id")
@@ -948,6 +976,14 @@ def replay_chunk(t: Tables) -> DataFrame:
     return replay_statuses(_raw_messages(t.given("events")), days=7)
 
 
+@query
+def replay_stored_cursor(t: Tables) -> DataFrame:
+    """The same chunks landed one run after the other, each from the cursor that the run before stored."""
+    base = scratch_path(t.spark, "replay")
+    raw = store_by_day(_raw_messages(t.given("events")), f"{base}/raw")
+    return replay_rest(raw, f"{base}/cursor", f"{base}/landing", f"{base}/quarantine", days=7)
+
+
 @query
 def replay_malformed_split(t: Tables) -> DataFrame:
     checked = with_reasons(_raw_messages(t.given("events")))
@@ -966,9 +1002,7 @@ def incremental_mart(t: Tables) -> DataFrame:
     parts = [rows.filter("dayofmonth(day) > 20"), rows.filter("dayofmonth(day) <= 10"), rows.filter("dayofmonth(day) between 11 and 20")]
     for part in parts:
         part.write.mode("append").partitionBy("day").parquet(landing)
-        span = part.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
-        if span.first is not None:
-            refresh(t.spark, landing, features, span.first, span.last)
+        refresh(t.spark, landing, features, part.select("day"))
     return t.spark.read.parquet(features).select("transaction_id", "card_id", *VELOCITY_COLUMNS)
 
 
@@ -1123,6 +1157,27 @@ def stream_score(t: Tables) -> DataFrame:
     return _stated(t.spark.read.parquet(f"{base}/scores"), "transaction_id")
 
 
+@query
+def saved_artifacts(t: Tables) -> DataFrame:
+    """Status of all artifacts after saving encodings and latest client features (no model), and the rows read back."""
+    path = scratch_path(t.spark, "artifacts")
+    train = t.labelled.withColumnRenamed("is_fraud", "label")
+    encodings = [f"target_encodings/{column}" for column in models.ENCODED]
+    for name, column in zip(encodings, models.ENCODED, strict=True):
+        artifacts.save_table(encoding.encoding_table(train, column, "label"), path, name)
+    artifacts.save_table(train.agg(F.avg("label").alias("mean")), path, "target_encodings/overall")
+    artifacts.save_table(monthly.latest_features(t.forecast_features), path, "client_features")
+    rows = {
+        "target_encodings": t.spark.read.parquet(f"{path}/{encodings[0]}").select("mcc_te").unionAll(
+            t.spark.read.parquet(f"{path}/{encodings[1]}").select("merchant_id_te")
+        ),
+        "client_features": t.spark.read.parquet(f"{path}/client_features"),
+    }
+    counted = [df.agg(F.lit(name).alias("artifact"), F.count(F.lit(1)).alias("n_rows")) for name, df in rows.items()]
+    status = artifacts.artifact_status(t.spark, path)
+    return status.join(counted[0].unionAll(counted[1]), "artifact", "left").fillna(0, "n_rows")
+
+
 @query
 def prediction_output(t: Tables) -> DataFrame:
     """Yes or No for every transaction, labelled or not, and for as many ids without a transaction (No)."""

@@ -65,6 +65,13 @@ def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def present(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists, in whatever file system the path names."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a staged copy that nothing reads any more."""
     context = spark.sparkContext

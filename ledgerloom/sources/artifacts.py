@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.plans.models import FocalModel, ensemble
+from ledgerloom.session import present
 
 HEAD = "features string, rate double, n_trees int"
 
@@ -32,15 +32,10 @@ def save_forecast_models(models: dict[int, GBTRegressionModel], path: str) -> No
         model.write().overwrite().save(f"{path}/forecast_h{h}")
 
 
-def load_forecast_models(path: str, horizons=(1, 2, 3)) -> dict[int, GBTRegressionModel]:
-    """The horizons that are present; a missing one is left out."""
-    models = {}
-    for h in horizons:
-        try:
-            models[h] = GBTRegressionModel.load(f"{path}/forecast_h{h}")
-        except Exception:  # the reader raises a plain Java error for a missing folder
-            continue
-    return models
+def load_forecast_models(spark: SparkSession, path: str, horizons=(1, 2, 3)) -> dict[int, GBTRegressionModel]:
+    """The horizons that are present; a missing one is left out, a broken one fails."""
+    places = {h: f"{path}/forecast_h{h}" for h in horizons}
+    return {h: GBTRegressionModel.load(place) for h, place in places.items() if present(spark, place)}
 
 
 def save_table(df: DataFrame, path: str, name: str) -> None:
@@ -57,11 +52,6 @@ def artifact_status(spark: SparkSession, path: str) -> DataFrame:
         "target_encodings": "target_encodings/overall",
         "client_features": "client_features",
     }
-    rows = []
-    for name, place in places.items():
-        try:
-            spark.read.format("parquet").load(f"{path}/{place}")
-            rows.append((name, True))
-        except AnalysisException:
-            rows.append((name, False))
+    # a finished write leaves this mark, so a folder that a failed job left does not count
+    rows = [(name, present(spark, f"{path}/{place}/_SUCCESS")) for name, place in places.items()]
     return spark.createDataFrame(rows, "artifact string, is_loaded boolean")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,9 +79,6 @@ def explode_targets(documents: DataFrame) -> DataFrame:
 
 
 def read_mart(spark: SparkSession, name: str, fallback_path: str, columns: list[str] | None = None) -> DataFrame:
-    """A mart by table name, else its files; only the wanted columns are read."""
-    try:
-        mart = spark.table(name)
-    except AnalysisException:
-        mart = spark.read.parquet(fallback_path)
+    """A mart by table name, else (no table or view of that name) its files; only the wanted columns are read."""
+    mart = spark.table(name) if spark.catalog.tableExists(name) else spark.read.parquet(fallback_path)
     return mart.select(*columns) if columns else mart

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.scalars import blank_to_null
 from ledgerloom.operators.quality import keep_first
+from ledgerloom.session import present
 from ledgerloom.sources import schemas
 
 # fixed value: fields that must be whole numbers in a message
@@ -67,8 +67,9 @@ def land_batch(raw: DataFrame, batch_id: int, landing: str, quarantine: str) ->
     """Append the batch's new rows to the landing table and its bad rows to quarantine.
 
     A message may be delivered again, in this batch or a later one, and a failed batch runs
-    again. A copy is a row with the same id and day, in the batch and across batches. Copies inside the batch are reduced by an aggregate; earlier copies are found by
-    an anti join with the landing partitions of the batch's own days. Quarantine is written
+    again. A copy is a row with the same id and day, in the batch and across batches. Copies inside
+    the batch are reduced by an aggregate; earlier copies are found by an anti join with the landing
+    partitions of the batch's own days, which a join with these days picks. Quarantine is written
     per batch and replaced when the batch runs again.
 
     Returns the batch's typed rows.
@@ -76,15 +77,11 @@ def land_batch(raw: DataFrame, batch_id: int, landing: str, quarantine: str) ->
     spark = raw.sparkSession
     checked = with_reasons(raw)
     rows = keep_first(well_formed(checked).withColumn("day", F.to_date("date")), ["id", "day"], ["date"])
-    days = [r.day for r in rows.select("day").distinct().collect()]  # a list of calendar days
-    try:
-        # a read of a missing table fails; a first batch has none
-        landed = spark.read.schema(rows.schema).parquet(landing).filter(F.col("day").isin(days)).select("id", "day")
+    days = F.broadcast(well_formed(checked).select(F.to_date("date").alias("day")).distinct())  # the calendar bounds it
+    fresh = rows
+    if present(spark, landing):  # a first batch finds none
+        landed = spark.read.schema(rows.schema).parquet(landing).select("id", "day").join(days, "day", "left_semi")
         fresh = rows.join(landed, ["id", "day"], "left_anti")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        fresh = rows
     fresh.select(*rows.columns).write.mode("append").partitionBy("day").parquet(landing)
     bad = malformed(checked).withColumn("received", F.current_date())
     bad.write.mode("overwrite").partitionBy("received").parquet(f"{quarantine}/batch_id={batch_id}")

@@ -7,9 +7,6 @@ them, and replaces the partitions of the changed days. Rows may arrive in any or
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +15,7 @@ from ledgerloom.functions.scalars import epoch_seconds
 from ledgerloom.operators.staging import stage_transactions
 from ledgerloom.operators.windows import ENTITY_ROWS, Span, add_features, heavy_entities
 from ledgerloom.plans.fraud_mart import CARD_FEATURES, fraud_features
-from ledgerloom.session import discard, stage, stage_at
+from ledgerloom.session import discard, present, stage, stage_at
 from ledgerloom.streaming.landing import land_batch
 
 REACH_DAYS = 7
@@ -54,13 +51,25 @@ def velocity(landed: DataFrame, cap: int = ENTITY_ROWS) -> DataFrame:
     )
 
 
-def refresh(spark: SparkSession, landing: str, features: str, first: date, last: date, cap: int = ENTITY_ROWS) -> None:
-    """Recompute the features of the days changed by rows of ``first`` .. ``last``."""
+def _around(days: DataFrame, before: int, after: int) -> DataFrame:
+    """The days from ``before`` days before each of ``days`` to ``after`` days after it; the calendar bounds their number."""
+    span = F.sequence(F.date_sub("day", before), F.date_add("day", after))
+    return F.broadcast(days.select(F.explode(span).alias("day")).distinct())
+
+
+def refresh(spark: SparkSession, landing: str, features: str, days: DataFrame, cap: int = ENTITY_ROWS) -> None:
+    """Recompute the features that rows of ``days`` (one column, day) change.
+
+    Only these days, those within reach after them and what these look back on are read and
+    replaced: a late row of an old day leaves the days between alone. No days change nothing.
+    """
+    days = stage(days.filter("day IS NOT NULL").distinct(), "changed-days")
+    if days.isEmpty():
+        return
     landed = spark.read.schema(LANDED).parquet(landing)
-    reach = timedelta(days=REACH_DAYS)
     # one more day before: a span is measured in seconds and may start within a day
-    near = landed.filter(F.col("day").between(first - reach - timedelta(days=1), last + reach)).drop("day")
-    changed = velocity(near, cap).filter(F.col("day").between(first, last + reach))
+    near = landed.join(_around(days, REACH_DAYS + 1, REACH_DAYS), "day", "left_semi").drop("day")
+    changed = velocity(near, cap).join(_around(days, 0, REACH_DAYS), "day", "left_semi")
     (
         changed.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -73,10 +82,8 @@ def land_and_refresh(raw: DataFrame, batch_id: int, landing: str, quarantine: st
     """Land a batch and refresh the features it changes; safe to run again."""
     raw.persist()
     rows = land_batch(raw, batch_id, landing, quarantine)
-    span = rows.agg(F.min("day").alias("first"), F.max("day").alias("last")).first()
+    refresh(raw.sparkSession, landing, features, rows.select("day"))
     raw.unpersist()
-    if span.first is not None:
-        refresh(raw.sparkSession, landing, features, span.first, span.last)
 
 
 def _of_keys(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -104,12 +111,9 @@ def refresh_mart(landed: DataFrame, batch: DataFrame, mart: str, mcc: DataFrame,
     bucket = F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int")
     fresh = fraud_features(stage_transactions(needed), mcc, cards, users).join(ids, "transaction_id", "left_semi").withColumn("bucket", bucket)
     touched = [r.bucket for r in changed.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
-    try:
+    if present(spark, mart):
         kept = spark.read.schema(fresh.schema).parquet(mart).filter(F.col("bucket").isin(touched)).join(ids, "transaction_id", "left_anti")
         fresh = fresh.unionByName(kept.select(*fresh.columns))
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
     # written apart first: the buckets replaced are also read
     whole, path = stage_at(fresh, "mart")
     whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(mart)

@@ -42,6 +42,7 @@ SELECT cursor AS chunk_start,
   (SELECT COUNT(*) FROM a WHERE ok AND moment > cursor AND moment <= cursor + INTERVAL 7 DAY) AS rows_published,
   (SELECT COUNT(*) FROM a WHERE NOT ok AND moment > cursor AND moment <= cursor + INTERVAL 7 DAY) AS rows_skipped
 FROM runs WHERE cursor < (SELECT MAX(moment) FROM a)"""
+SQL["replay_stored_cursor"] = SQL["replay_chunk"]
 VELOCITY = (
     "card_txn_count_1h card_txn_count_24h card_txn_count_7d card_amount_sum_24h card_errors_7d card_amount_sum_prior_24h"
 )

@@ -78,6 +78,12 @@ SQL["forecast_batch"] = query(FEATURES, """
 SELECT CAST(c_custkey AS BIGINT) AS client_id, strftime(m + CAST(horizon AS INTEGER) * INTERVAL 1 MONTH, '%Y-%m') AS month,
   CAST(horizon AS INTEGER) AS horizon, CASE WHEN known_client IS NULL THEN 'client not found' ELSE 'ok' END AS status, true AS answer_valid
 FROM customer CROSS JOIN h CROSS JOIN last LEFT JOIN seen ON known_client = c_custkey""")
+SQL["saved_artifacts"] = query([FEATURES, LABELLED], """
+, codes AS (SELECT mcc FROM labelled GROUP BY 1)
+, shops AS (SELECT merchant_id FROM labelled GROUP BY 1)
+SELECT 'target_encodings' AS artifact, true AS is_loaded, (SELECT COUNT(*) FROM codes) + (SELECT COUNT(*) FROM shops) AS n_rows
+UNION ALL SELECT 'client_features', true, COUNT(DISTINCT client_id) FROM feats
+UNION ALL SELECT unnest(['fraud_model', 'forecast_h1', 'forecast_h2', 'forecast_h3']), false, 0""")
 SQL["walk_forward_scores"] = query(FEATURES, _TARGETS + """
 , last AS (SELECT MAX(expense_month) AS m FROM feats WHERE lag_12 IS NOT NULL)
 , v AS (SELECT CAST(unnest(generate_series(m - INTERVAL 10 MONTH, m - INTERVAL 3 MONTH, INTERVAL 1 MONTH)) AS DATE) AS val_month FROM last)

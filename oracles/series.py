@@ -10,6 +10,11 @@ MONTH = "client_id, CAST(expense_month AS VARCHAR) AS expense_month"
 SQL["mart_client_monthly_expenses"] = query(MONTHLY, f"""
 SELECT {MONTH}, {rounded('total_expenses')}, num_expense_transactions, {rounded('avg_expense_amount max_expense_amount total_earnings')},
   num_earning_transactions, total_transactions FROM monthly""")
+SQL["mart_fallback"] = SQL["mart_client_monthly_expenses"]
+SQL["ledger_buckets"] = query(LEDGER, """
+SELECT transaction_id, client_id, COUNT(*) OVER (PARTITION BY client_id ORDER BY transaction_date, transaction_id ROWS UNBOUNDED PRECEDING) AS number,
+  CAST(LAG(amount) OVER (PARTITION BY client_id ORDER BY transaction_date, transaction_id) AS DOUBLE) AS amount_before
+FROM ledger""")
 
 LAGS = "lag_1 lag_2 lag_3 lag_6 lag_12"
 ROLL = "rmean_3 rmean_6 rmean_12 rstd_3 rstd_6 rstd_12 rmedian_6 rmin_6 rmax_6"

@@ -70,7 +70,7 @@ def test_saved_model_scores_alike(spark, model, rows, folder):
     assert {r.id: r.probability for r in loaded.score(rows).collect()} == pytest.approx(want)
     status = {r.artifact: r.is_loaded for r in artifacts.artifact_status(spark, folder).collect()}
     assert status["fraud_model"] and not status["forecast_h1"]
-    assert artifacts.load_forecast_models(folder) == {}
+    assert artifacts.load_forecast_models(spark, folder) == {}
 
 
 def test_ablation_reports_each_candidate(rows):

@@ -11,7 +11,8 @@ from tests.conftest import FOLDER
 COMPARED = (
     "mart_fraud_features mart_client_monthly_expenses forecast_features int_client_transactions q4_top_visa_client "
     "cash_flow_weekly report_narrative_facts eda_error_rate dq_deduplicate target_encode_oof threshold_sweep pr_curve_cut "
-    "stream_landing replay_chunk incremental_mart load_features_by_id prediction_output prediction_summary"
+    "stream_landing replay_chunk incremental_mart load_features_by_id prediction_output prediction_summary "
+    "replay_stored_cursor mart_fallback ledger_buckets saved_artifacts"
 ).split()
 
 

@@ -1,5 +1,9 @@
 import json
+from pathlib import Path
 
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.sources import readers, sinks
@@ -33,6 +37,28 @@ def test_mart_falls_back_to_files(spark, folder):
     assert readers.read_mart(spark, "some_mart", f"{folder}/m", ["id"]).count() == 5
 
 
+def test_a_broken_view_is_no_missing_mart(spark, folder):
+    spark.range(3).write.parquet(f"{folder}/m")
+    spark.sql("CREATE DATABASE IF NOT EXISTS presentation")
+    assert readers.read_mart(spark, "presentation.absent", f"{folder}/m").count() == 3
+    spark.range(3).createOrReplaceTempView("few_columns")
+    with pytest.raises(AnalysisException):
+        readers.read_mart(spark, "few_columns", f"{folder}/m", ["no_such_column"])
+
+
+def test_buckets_serve_windows_without_an_exchange(spark, folder):
+    # half of the rows share one key, some have none
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 9 > 0, F.col("id") % 50).alias("k"), "id")
+    saved = sinks.save_buckets(rows, "bucket_test", ["k"], ["id"], 4, path=f"{folder}/b")
+    order = Window.partitionBy("k").orderBy("id")
+    number = F.row_number().over(order).alias("number")
+    got = saved.select("id", number)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in saved.groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.select("id", number).collect()))
+    assert len(list(Path(f"{folder}/b").glob("*.parquet"))) <= 16
+
+
 def test_unscored_targets_are_answered_no(spark):
     targets = spark.createDataFrame([(1,), (2,), (3,)], "transaction_id bigint")
     scored = spark.createDataFrame([(1, 1), (2, 0)], "transaction_id bigint, predicted int")

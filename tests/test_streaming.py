@@ -1,4 +1,5 @@
-from datetime import datetime
+from datetime import datetime, timedelta
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -38,6 +39,56 @@ def test_replay_runs_share_a_stored_cursor(spark, folder):
     assert replay.read_cursor(spark, cursor) == datetime(2020, 3, 1)
 
 
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_table_stored_by_day_is_pruned_to_the_chunk(spark, folder):
+    rows = replay.store_by_day(raw(spark, [*ROWS, (9, "someday", "1")]), f"{folder}/raw")
+    part = replay.chunk(rows, datetime(2020, 1, 1, 10), 1)
+    assert [r.id for r in part.collect()] == ["2"]
+    assert "day" not in part.columns
+    plan = scans(part)
+    assert "PartitionFilters: [isnotnull(day" in plan and "2020-01-02" in plan.split("PartitionFilters")[1].split("]")[0]
+    replay.quarantine_undated(rows, f"{folder}/bad")
+    assert [r.id for r in kept_quarantine(spark, f"{folder}/bad").collect()] == ["9"]
+
+
+def test_replay_to_the_end_follows_the_same_chunks(spark, folder):
+    rows = replay.store_by_day(raw(spark, ROWS), f"{folder}/raw")
+    got = replay.replay_rest(rows, f"{folder}/cursor", f"{folder}/landing", f"{folder}/bad", 30)
+    want = replay.replay_statuses(raw(spark, ROWS), days=30)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    # nothing is left for another call
+    assert replay.replay_rest(rows, f"{folder}/cursor", f"{folder}/landing", f"{folder}/bad", 30).count() == 0
+    empty = replay.replay_rest(rows.filter("false"), f"{folder}/c2", f"{folder}/l2", f"{folder}/b2", 30)
+    assert empty.count() == 0
+
+
+def test_a_chunk_without_rows_moves_the_cursor_to_its_bound(spark, folder):
+    replay.write_cursor(spark, f"{folder}/cursor", datetime(2020, 1, 5))
+    got = replay.replay_next(raw(spark, ROWS), f"{folder}/cursor", f"{folder}/landing", f"{folder}/bad", 10).first()
+    assert tuple(got) == (datetime(2020, 1, 5), datetime(2020, 1, 15), 0, 0)
+
+
+def test_a_late_row_leaves_the_days_between_alone(spark, tables, folder):
+    days = tables.landing.withColumn("day", F.to_date("date"))
+    days.write.partitionBy("day").parquet(f"{folder}/landing")
+    refresh(spark, f"{folder}/landing", f"{folder}/features", days.select("day"))
+    before = {p.name: min(f.stat().st_mtime_ns for f in p.glob("*.parquet")) for p in Path(f"{folder}/features").glob("day=*")}
+    ends = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+    refresh(spark, f"{folder}/landing", f"{folder}/features", spark.createDataFrame([(ends.a,), (ends.b,), (None,)], "day date"))
+    after = {p.name: min(f.stat().st_mtime_ns for f in p.glob("*.parquet")) for p in Path(f"{folder}/features").glob("day=*")}
+    near = {f"day={ends.a + timedelta(days=i)}" for i in range(8)} | {f"day={ends.b}"}
+    assert {name for name in after if after[name] != before[name]} == near & set(after)
+    assert len(near & set(after)) < len(after)
+    refresh(spark, f"{folder}/landing", f"{folder}/features", days.select("day").filter("false"))
+    key = ["transaction_id", *VELOCITY_COLUMNS]
+    got = spark.read.parquet(f"{folder}/features").select(*key).toPandas().sort_values("transaction_id").reset_index(drop=True)
+    want = velocity(tables.landing).select(*key).toPandas().sort_values("transaction_id").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want)
+
+
 def test_rows_without_a_date_are_set_apart(spark, folder):
     replay.quarantine_undated(raw(spark, [(1, "2020-01-01 10:00:00", "1"), (2, "someday", "1")]), f"{folder}/bad")
     assert [(r.id, r.reasons) for r in kept_quarantine(spark, f"{folder}/bad").collect()] == [("2", ["date"])]
@@ -94,8 +145,7 @@ def test_landing_stream_resumes_from_its_checkpoint(spark, tables, folder):
 def test_cut_entities_refresh_to_the_same_features(spark, tables, folder):
     days = tables.landing.withColumn("day", F.to_date("date"))
     days.write.partitionBy("day").parquet(f"{folder}/landing")
-    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
-    refresh(spark, f"{folder}/landing", f"{folder}/features", span.a, span.b, cap=30)
+    refresh(spark, f"{folder}/landing", f"{folder}/features", days.select("day"), cap=30)
     key = ["transaction_id", *VELOCITY_COLUMNS]
     got = spark.read.parquet(f"{folder}/features").select(*key).toPandas().sort_values("transaction_id").reset_index(drop=True)
     want = velocity(tables.landing).select(*key).toPandas().sort_values("transaction_id").reset_index(drop=True)
