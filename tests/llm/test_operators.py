@@ -350,8 +350,8 @@ def test_decontamination(spark, docs, rows, none, monkeypatch):
     table = docs.select("doc_id", "text").unionByName(spark.createDataFrame([p[:2] for p in planted], "doc_id long, text string"))
     bench = spark.createDataFrame([*items, (None, items[5][1]), (50, None), (51, ""), items[5]], "item_id long, text string")
     want = {i: [k] for i, _, w in planted for k in [i % 100] if len(w) >= 5}
-    for tokens in (10**6, 10):
-        monkeypatch.setattr(decontamination, "PASS_TOKENS", tokens)
+    for block in (17, 2):
+        monkeypatch.setattr(decontamination, "BLOCK", block)
         out = decontamination.judged(table, bench).cache()
         assert out.count() == table.count()
         assert {r["doc_id"]: r["items"] for r in out.filter("contaminated").collect()} == want
@@ -360,16 +360,62 @@ def test_decontamination(spark, docs, rows, none, monkeypatch):
     assert decontamination.judged(table, bench.filter("false")).filter("contaminated").count() == 0
 
 
-def test_overlap_by_definition():
+def test_overlaps_equal_all_items_against_all_documents(spark):
+    rng = random.Random(13)
+    # few words, so that seeds meet often and by chance
+    line = lambda n, k=4: [f"w{rng.randint(1, k)}" for _ in range(n)]
+    items = [(i, line(n)) for i, n in enumerate((3, 5, 8, 10, 11, 12, 13, 30, 60, 90))] + [(20, ["same"] * 40), (21, line(25, 2)), (5, line(40))]
+    table = [(i, line(rng.randint(0, 120))) for i in range(25)] + [(30, ["same"] * 90), (31, line(20) + ["same"] * 15 + line(9)), (None, items[8][1]), (None, line(50))]
+    for i in range(40, 60):
+        own = list(items[rng.randint(6, 9)][1])
+        for k in rng.sample(range(len(own)), len(own) // 14):
+            own[k] = "other"
+        table.append((i, line(rng.randint(0, 20)) + own + line(rng.randint(0, 20))))
+    table += table[-2:]
+    want = {}
+    for doc, text in table:
+        for item_id, item in items:
+            for offset in range(1 - len(item), len(text)):
+                low, high = max(0, -offset), min(len(item), len(text) - offset)
+                equal = np.array([item[k] == text[k + offset] for k in range(low, high)], bool)
+                masks = decontamination.masks_for(len(item), sum(map(len, item)))
+                seeded = any(all(equal[p + i] for i, m in enumerate(mask) if m == "1") for mask in masks for p in range(len(equal) - len(mask) + 1))
+                if seeded and (span := decontamination.verified(equal, len(item))):
+                    most, start, end = span[0], offset + low + span[1], offset + low + span[2]
+                    key = (doc, " ".join(text), item_id)
+                    want[key] = max(want.get(key, (0, 0, 0)), (most, -start, end))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in table], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = decontamination.overlaps(docs, bench)
+    prints = {r["fp"]: r["text"] for r in docs.select(F.xxhash64("text").alias("fp"), "text").collect()}
+    got = {(r["doc_id"], prints[r["fp"]], r["item_id"]): (r["equal_tokens"], -r["from_token"], r["to_token"]) for r in found.collect()}
+    assert len(want) > 20 and got == want
+    kept = [tuple(r) for r in decontamination.cleaned(docs, bench).collect()]
+    hit = {key[:2] for key in want}
+    assert sorted(kept, key=str) == sorted([(i, " ".join(w)) for i, w in table if (i, " ".join(w)) not in hit], key=str)
+
+
+def test_decontamination_of_clashing_columns_and_repetitive_texts(spark):
+    item = " ".join(["same"] * 400)
+    rows = [(1, " ".join(["same"] * 20_000), "a", 1), (2, None, "b", 2), (3, "", None, 3), (3, "", None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string, _TEXT_0 int").withColumn("tokens", F.lit(1)).withColumn("offsets", F.lit(2))
+    bench = spark.createDataFrame([(7, item, 1)], "item_id long, text string, doc_id int")
+    assert {r["doc_id"]: r["equal_tokens"] for r in decontamination.judged(docs, bench).collect()} == {1: 400, 2: 0, 3: 0}
+    out = decontamination.cleaned(docs, bench)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["_TEXT_0"]) for r in out.collect()) == [(2, 2), (3, 3), (3, 3)]
+    assert decontamination.cleaned(docs, bench.filter("false")).count() == 4
+
+
+def test_verified_by_definition():
     rng = np.random.default_rng(6)
-    for _ in range(200):
-        item, text = (rng.integers(0, 3, n).astype(np.uint64) for n in (9, 14))
-        offset = int(rng.integers(-8, 14))
-        low, high = max(0, -offset), min(9, 14 - offset)
-        gain = [1 if item[k] == text[k + offset] else -decontamination.PENALTY for k in range(low, high)]
-        best = max((sum(gain[a:b]) for a in range(len(gain)) for b in range(a, len(gain) + 1)), default=0)
-        equal, start, end = decontamination.overlap(item, text, offset)
-        assert equal - decontamination.PENALTY * (end - start - equal) == max(best, 0)
+    for _ in range(300):
+        equal = rng.random(int(rng.integers(1, 40))) < rng.choice([0.6, 0.9, 1.0])
+        n = int(rng.integers(5, 20))
+        runs = [(int(equal[a:b].sum()), -a, b) for a, b, _ in decontamination.stretches(equal)]
+        enough = [r for r in runs if r[0] >= decontamination.needed(n)]
+        want = max(enough, default=None)
+        assert decontamination.verified(equal, n) == (want and (want[0], -want[1], want[2]))
 
 
 def test_line_dedup(docs, rows, none):
@@ -435,11 +481,12 @@ def test_line_fingerprints_are_winnowed(spark):
     assert len(got[-1]["s"]) < 0.7 * (200 - lines.RUN + 1)
 
 
-def test_every_stretch_of_an_offset_is_tested():
+def test_every_stretch_of_an_offset_is_tested(spark):
     item = [f"w{k}" for k in range(32)]
     text = [x if k < 11 or 17 <= k and k not in (21, 26) else f"other{k}" for k, x in enumerate(item)]
-    chunk = next(ta.chunks([" ".join(["before"] * 3 + text)]))
-    assert decontamination.found_in(chunk, decontamination.Index([7], [" ".join(item)])) == {(0, 7): (13, 20, 35)}
+    docs = spark.createDataFrame([(0, " ".join(["before"] * 3 + text))], "doc_id long, text string")
+    found = decontamination.overlaps(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert [tuple(r)[2:] for r in found.collect()] == [(7, 13, 20, 35)]
 
 
 def test_stretches_by_definition():
