@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import zipfile
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 from functools import reduce
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.session import configure, stage
+from ledgerloom.session import batch_rows, configure, ship, stage
 
 __all__ = ["BATCH_ROWS", "batch_rows", "keyed", "null_safe", "prepare", "release", "stage", "table", "word_array"]
 
@@ -23,43 +19,14 @@ BATCH_ROWS = 400
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-_shipped: set[str] = set()
-
-
-def _ship(spark: SparkSession) -> None:
-    """Send the package to the executors, once per application: their functions import it."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    archive = Path(tempfile.mkdtemp(prefix="package-")) / f"{top.name}.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted(top.rglob("*.py")):
-            out.write(source, source.relative_to(top.parent))
-    context.addPyFile(str(archive))
-    _shipped.add(context.applicationId)
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings of the operators, adaptive execution and small Arrow batches; ships the package."""
     configure(spark)
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 
-@contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Another size of Arrow batches for the jobs started inside, for tables of narrow rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no table needs any more; it does so when the driver's JVM collects its garbage."""
     gc.collect()

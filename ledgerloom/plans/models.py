@@ -1,9 +1,10 @@
 """Fraud classification with a focal objective and multi-horizon expense forecasting.
 
-Trees are Spark ML trees; the driver only loops over rounds. Any number of trees scores as
-one ensemble expression. Training rows live in a staged table of feature vectors with their
-score so far; every few rounds a new copy replaces it, so lineage stays short, an executor
-loss repeats little work, and the scratch folder never holds more than two copies.
+Trees of the classifier grow on rows that are binned once (`operators/trees.py`) and become
+Spark ML trees; the driver only loops over rounds. Any number of trees scores as one ensemble
+expression. Every few rounds the binned rows with their score so far are checkpointed, so
+lineage stays short, an executor loss repeats little work, and the scratch folder never holds
+more than three copies.
 """
 
 from __future__ import annotations
@@ -16,17 +17,18 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark import inheritable_thread_target
+import numpy as np
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, PipelineModel, Pipeline
 from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import sigmoid
-from ledgerloom.operators import encoding, evaluate
+from ledgerloom.operators import encoding, evaluate, trees
 from ledgerloom.plans import monthly
-from ledgerloom.session import discard, stage, stage_at
+from ledgerloom.session import batch_rows, discard, keep_checkpoints, ship, stage, stage_at
 
 # fixed values: the model's features, the columns filled with 0, and the encoded columns
 FRAUD_FEATURES = (
@@ -49,6 +51,9 @@ FILL_ZERO = (
 ENCODED = ("mcc", "merchant_id")
 SERVING_THRESHOLD = 0.35
 MISSING = -1.0
+# rows of a block of binned rows, and blocks of one task
+BLOCK_ROWS = 10_000
+LEAST_BLOCKS, MOST_BLOCKS = 8, 64
 
 
 def prepare_features(df: DataFrame) -> DataFrame:
@@ -176,6 +181,21 @@ def add_trees(df: DataFrame, trees: Sequence[DecisionTreeRegressionModel], rate:
     return step.withColumn("raw", F.col("raw") + F.col("prediction")).drop("prediction")
 
 
+def _focal_terms(label: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and hessian as in `evaluate.focal_terms`, for blocks of rows."""
+    p = 1 / (1 + np.exp(-raw))
+    pt = np.where(label == 1, p, 1 - p)
+    weight = evaluate.FOCAL_ALPHA * (1 - pt) ** evaluate.FOCAL_GAMMA
+    return weight * (p - label), np.maximum(weight * p * (1 - p), 1e-7)
+
+
+def _focal_losses(label: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """The loss of each row, whose mean is `evaluate.focal_loss`."""
+    p = 1 / (1 + np.exp(-raw))
+    pt = np.where(label == 1, p, 1 - p)
+    return -evaluate.FOCAL_ALPHA * (1 - pt) ** evaluate.FOCAL_GAMMA * np.log(pt + 1e-8)
+
+
 def fit_focal(
     rows: DataFrame,
     features: Sequence[str] = FRAUD_FEATURES,
@@ -188,58 +208,60 @@ def fit_focal(
 ) -> FocalModel:
     """Newton boosting on the focal gradient.
 
-    ``rows`` hold the features, ``label`` and ``split`` (train or val). A tree is fitted to
-    -gradient / hessian with the hessian as weight, so a leaf's weighted mean is the Newton
-    step. Stops when the validation focal loss has not improved for ``patience`` rounds and
-    keeps the trees of the best round. Without validation rows all rounds run and are kept.
+    ``rows`` hold the features, ``label`` and ``split`` (train or val). A tree is grown on
+    gradient and hessian, so a leaf's answer is the Newton step. Rows are binned once and stay
+    in the executors with their score; a round is one pass per level, and the first of them
+    also gives the validation loss of the round before. Stops when that focal loss has not
+    improved for ``patience`` rounds and keeps the trees of the best round. Without validation
+    rows all rounds run and are kept.
     """
-    features = list(features)
+    features, spark = list(features), rows.sparkSession
     ready = filled(rows, features)
     inputs = assembler(features).fit(ready.filter("split = 'train'"))
-    columns = ["label", "split", "features"]
-    frame, place = stage_at(inputs.transform(ready).select(*columns, F.lit(0.0).alias("raw")), "boost")
-    staged, since = frame, 0  # the trees from `since` on are not in the staged score yet
-    model = FocalModel(inputs, features, rate)
-    learner = DecisionTreeRegressor(
-        featuresCol="features",
-        labelCol="target",
-        weightCol="hess",
-        maxDepth=depth,
-        maxBins=64,
-        minInstancesPerNode=leaf_rows,
-        seed=42,
-    )
+    vectors = inputs.transform(ready).select("features", "label", "split")
+    cut = trees.binning(vectors.filter("split = 'train'"))
+    ship(spark)
+    keep_checkpoints(spark)
+    known = vectors.filter("split IN ('train', 'val')").withColumn("learnt", F.col("split") == "train")
+    with batch_rows(spark, BLOCK_ROWS):
+        staged, place = stage_at(trees.binned(known, cut), "boost")
+    many, parallel = staged.count(), spark.sparkContext.defaultParallelism
+    # a task has a few blocks at least, since every task sends its sums, and a bounded number at most
+    tasks = max(1, min(parallel, many // LEAST_BLOCKS), many // MOST_BLOCKS)
+    at = trees.blocks(staged, tasks).persist(StorageLevel.MEMORY_AND_DISK)
+    model, grown, kept = FocalModel(inputs, features, rate), [], None
+    root, _, _ = trees.first_sums(at, cut, _focal_terms, _focal_losses)
     best, best_round = float("inf"), 0
     for n in range(1, rounds + 1):
-        terms = evaluate.focal_terms(F.col("label"), F.col("raw"))
-        train = (
-            frame.filter("split = 'train'")
-            .select("features", terms["grad"].alias("grad"), terms["hess"].alias("hess"))
-            .select("features", "hess", (-F.col("grad") / F.col("hess")).alias("target"))
-            .persist()  # a fit reads its rows several times
-        )
-        model.trees.append(learner.fit(train))
-        train.unpersist()
-        frame = add_trees(staged, model.trees[since:], rate)
+        grown.append(trees.grow(at, root, cut, _focal_terms, depth, leaf_rows))
+        before, at = at, trees.add_tree(at, grown[-1], rate).persist(StorageLevel.MEMORY_AND_DISK)
         if n % stage_every == 0:
-            before = place
-            staged, place = stage_at(frame.select(*columns, "raw"), "boost")
-            discard(staged.sparkSession, before)
-            frame, since = staged, n
-        loss = frame.filter("split = 'val'").agg(evaluate.focal_loss(F.col("label"), F.col("raw"))).first()[0]
-        if loss is None:
+            at.checkpoint()
+        root, lost, held = trees.first_sums(at, cut, _focal_terms, _focal_losses)
+        before.unpersist()
+        if n % stage_every == 0:
+            _drop(spark, kept)
+            kept = at.getCheckpointFile()
+        if not held:
             best_round = n
             continue
-        model.losses.append(loss)
-        if loss < best:
-            best, best_round = loss, n
+        model.losses.append(lost / held)
+        if model.losses[-1] < best:
+            best, best_round = model.losses[-1], n
         elif n - best_round >= patience:
             break
-    discard(staged.sparkSession, place)
-    model.trees = model.trees[:best_round]
+    at.unpersist()
+    _drop(spark, kept)
+    discard(spark, place)
+    model.trees = [trees.spark_tree(spark, tree, cut) for tree in grown[:best_round]]
     return model
 
 
+def _drop(spark: SparkSession, path: str | None) -> None:
+    if path:
+        discard(spark, path)
+
+
 def training_rows(mart: DataFrame, labels: DataFrame, order: Sequence[str], strict: bool = False) -> DataFrame:
     """Labelled mart rows with encodings, filled features and an 85/15 split in time.
 
