@@ -76,3 +76,28 @@ def test_a_card_with_newer_rows_is_kept(spark, folder, idle):
     run(spark, folder, landed(spark, [(1, 100, 7, "$5.00", "")]), idle=idle)
     run(spark, folder, landed(spark, [(2, 160, 7, "$5.00", "")]), idle=idle)
     assert answers(spark, folder)[2][:2] == (60, 1)
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_cards_share_keys_and_stay_apart(spark, folder, buckets):
+    rows = [(i, 40_000 * (i % 50) + i % 3, (i * 7) % 23 if i % 29 else None, f"${i}.25", "Bad PIN" if i % 5 == 0 else "") for i in range(600)]
+    for low, high in ((0, 9), (9, 11), (11, 50)):
+        run(spark, folder, landed(spark, [r for r in rows if low <= r[0] % 50 < high]), buckets=buckets)
+    got = table(spark.read.parquet(f"{folder}/out"))
+    pd.testing.assert_frame_equal(got, table(velocity(landed(spark, rows))))
+
+
+def test_a_number_beside_a_null_keeps_its_digits(spark, folder):
+    rows = landed(spark, [(1, 100, 7, "$5.00", ""), (2, 160, 7, "$5.00", "")])
+    rows = rows.withColumn("client_id", F.when(F.col("id") == 1, F.lit(2**53 + 1)))
+    run(spark, folder, rows, buckets=1)
+    got = spark.read.parquet(f"{folder}/out").orderBy("transaction_id")
+    assert [r.client_id for r in got.collect()] == [2**53 + 1, None]
+    assert got.schema["client_id"].dataType.simpleString() == "bigint"
+
+
+def test_state_has_a_key_per_bucket_not_per_card(spark, folder):
+    parts = spark.range(300).select(F.col("id")).collect()
+    run(spark, folder, landed(spark, [(r.id, 100, r.id, "$5.00", "") for r in parts]), buckets=2)
+    kept = spark.read.format("statestore").option("path", f"{folder}/cp").option("stateVarName", "cards").load()
+    assert kept.count() == 2
