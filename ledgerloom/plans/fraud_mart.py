@@ -6,6 +6,8 @@ entity; frequency windows over (card, mcc) and (card, merchant) reuse the card e
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,12 +251,13 @@ def fraud_features(
     users: DataFrame,
     cap: int = ENTITY_ROWS,
     block_rows: int = BLOCK_ROWS,
+    beside: Sequence[str] = (),
 ) -> DataFrame:
-    """The whole mart from staged tables."""
+    """The whole mart from staged tables; columns of the transactions named in ``beside`` follow its own."""
     df = base_features(transactions, mcc, cards, users)
     df = with_client_windows(df, heavy_entities(transactions, "client_id", cap), block_rows)
     df = with_card_windows(df, heavy_entities(transactions, "card_id", cap), block_rows)
-    return derived_columns(df).select(*MART_COLUMNS)
+    return derived_columns(df).select(*MART_COLUMNS, *beside)
 
 
 def distinct_features(transactions: DataFrame, cap: int = ENTITY_ROWS) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.functions.scalars import epoch_seconds
+from ledgerloom.operators.ordered import null_safe_join
 from ledgerloom.operators.staging import stage_transactions
 from ledgerloom.operators.windows import ENTITY_ROWS, Span, add_features, heavy_entities
 from ledgerloom.plans.fraud_mart import CARD_FEATURES, fraud_features
@@ -100,24 +101,31 @@ def refresh_mart(landed: DataFrame, batch: DataFrame, mart: str, mcc: DataFrame,
 
     Every row of a client or card in the batch can change (its home state, its maxima, the
     rows after a late one), and no other row can. These rows are computed again from all rows
-    of their clients and cards, whatever the order of arrival. The mart is kept in buckets by
-    client; the buckets they lie in are replaced, so running a batch again changes nothing.
+    of their clients and cards, whatever the order of arrival. Which rows these are is found
+    among the pairs of client and card, so landed rows meet their pair in one join. The mart is
+    kept in buckets by client; the buckets they lie in are replaced, so running a batch again
+    changes nothing.
     """
-    spark = landed.sparkSession
-    keys = stage(batch.select("client_id", "card_id").distinct(), "batch-keys")
-    changed = stage(_of_keys(landed, keys).select(F.col("id").alias("transaction_id"), "client_id", "card_id"), "changed")
-    needed = _of_keys(landed, changed)
-    ids = changed.select("transaction_id").distinct()
+    spark, pair = landed.sparkSession, ["client_id", "card_id"]
+    pairs = stage(landed.select(*pair).distinct(), "pairs")
+    changed = stage(_of_keys(pairs, batch.select(*pair).distinct()), "changed-pairs")
+    needed = null_safe_join(_of_keys(pairs, changed), changed.withColumn("_changed", F.lit(True)), pair, "left")
+    rows = null_safe_join(stage_transactions(landed), stage(needed, "needed-pairs"), pair, "inner")
     bucket = F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int")
-    fresh = fraud_features(stage_transactions(needed), mcc, cards, users).join(ids, "transaction_id", "left_semi").withColumn("bucket", bucket)
-    touched = [r.bucket for r in changed.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+    # a column beside the mart's own, so that the wide rows need no join to tell which of them are changed
+    fresh = fraud_features(rows, mcc, cards, users, beside=["_changed"]).filter("_changed").drop("_changed").withColumn("bucket", bucket)
+    path = None
     if present(spark, mart):
-        kept = spark.read.schema(fresh.schema).parquet(mart).filter(F.col("bucket").isin(touched)).join(ids, "transaction_id", "left_anti")
-        fresh = fresh.unionByName(kept.select(*fresh.columns))
-    # written apart first: the buckets replaced are also read
-    whole, path = stage_at(fresh, "mart")
-    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(mart)
-    discard(spark, path)
+        touched = [r.bucket for r in changed.select(bucket.alias("bucket")).distinct().collect()]  # at most ``buckets`` numbers
+        kept = null_safe_join(spark.read.schema(fresh.schema).parquet(mart).filter(F.col("bucket").isin(touched)), changed, pair, "left_anti")
+        # written apart first: the buckets replaced are also read
+        kept, path = stage_at(kept, "kept")
+        fresh = fresh.unionByName(kept)
+    # rows of a bucket meet first, in parts of Spark's advisory size, so that not every task writes a file per bucket
+    fresh = fresh.hint("rebalance", "bucket")
+    fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(mart)
+    if path:
+        discard(spark, path)
 
 
 def start_refresh(stream: DataFrame, landing: str, quarantine: str, features: str, checkpoint: str) -> StreamingQuery:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ledgerloom.sources import schemas
 from ledgerloom.streaming import replay
 from ledgerloom.streaming.landing import decode, kept_quarantine, land_batch, start_landing
-from ledgerloom.plans.fraud_mart import MART_COLUMNS
+from ledgerloom.operators.staging import stage_transactions
+from ledgerloom.plans.fraud_mart import MART_COLUMNS, fraud_features
 from ledgerloom.streaming.refresh import LANDED, VELOCITY_COLUMNS, refresh, refresh_mart, start_refresh, velocity
 
 
@@ -163,3 +164,16 @@ def test_all_mart_columns_follow_late_rows_and_repeated_batches(spark, tables, f
     refresh_mart(landed, parts[1], mart, tables.mcc, tables.cards, tables.users)
     read = lambda df: df.select(*MART_COLUMNS).toPandas().sort_values("transaction_id").reset_index(drop=True)
     pd.testing.assert_frame_equal(read(spark.read.parquet(mart)), read(tables.mart()), check_dtype=False)
+
+
+def test_a_refresh_keeps_rows_whose_number_is_missing_or_comes_again(spark, tables, folder):
+    """Row 1 of client 1 and row 1 of client 2 are two rows, and so is one without a number."""
+    rows = [(1, 1, 7), (1, 2, 8), (None, 1, 7), (3, None, 8), (4, 5, 9)]
+    values = [(i, datetime(2020, 1, n + 1), c, k, "$5.00", "Chip Transaction", 3, "X", "S1", None, 5000, "") for n, (i, c, k) in enumerate(rows)]
+    landed = spark.createDataFrame(values, ", ".join(LANDED.split(", ")[:-1]))
+    mart = f"{folder}/mart"
+    refresh_mart(landed, landed, mart, tables.mcc, tables.cards, tables.users, buckets=1)
+    refresh_mart(landed, landed.filter("client_id = 1"), mart, tables.mcc, tables.cards, tables.users, buckets=1)
+    want = fraud_features(stage_transactions(landed), tables.mcc, tables.cards, tables.users)
+    read = lambda df: sorted(map(repr, df.select(*MART_COLUMNS).collect()))
+    assert read(spark.read.parquet(mart)) == read(want)
