@@ -60,10 +60,12 @@ BLOCK = 17
 
 @cache
 def _token_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    chars = [chr(i) for i in range(0x110000)]
-    inside = np.array([c.isalnum() for c in chars])
-    lower = np.array([ord(l) if len(l := c.lower()) == 1 else i for i, c in enumerate(chars)], np.uint32)
-    alone = np.zeros(len(chars), bool)
+    size, step = 0x110000, 1 << 12
+    inside, lower, alone = np.zeros(size, bool), np.arange(size, dtype=np.uint32), np.zeros(size, bool)
+    for first in range(0, size, step):  # a list of all characters would take over 100 MB of every worker
+        chars = [chr(i) for i in range(first, first + step)]
+        inside[first : first + step] = [c.isalnum() for c in chars]
+        lower[first : first + step] = [ord(l) if len(l := c.lower()) == 1 else ord(c) for c in chars]
     for low, high in UNSPACED:
         alone[low : high + 1] = True
     return inside, lower, alone

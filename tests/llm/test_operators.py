@@ -4,6 +4,7 @@ import binascii
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -526,3 +527,14 @@ def test_decontamination_without_spaces(spark):
     out = decontamination.judged(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     got = {r["doc_id"]: r["items"] for r in out.filter("contaminated").collect()}
     assert got == {1: [1], 2: [2], 3: [3], 4: [4], 6: [6], 14: [2]}
+
+
+def test_decontamination_builds_its_character_tables_in_little_memory():
+    tracemalloc.start()
+    inside, lower, _ = decontamination._token_tables.__wrapped__()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # each Python worker builds them; lists of all characters took above 100 MB
+    for i in (*range(0, 0x110000, 13), 0x130, 0x4E00, 0x10FFFF):
+        c = chr(i)
+        assert inside[i] == c.isalnum() and chr(lower[i]) == (c.lower() if len(c.lower()) == 1 else c)
