@@ -181,3 +181,28 @@ def test_held_out_quality_of_the_given_labels(spark):
     labels = spark.read.parquet(f"{folder}/labels.parquet").filter("quality IS NOT NULL")
     rows = REGISTRY["op13_classifier"](spark, folder).filter("held_out").join(labels, "doc_id").collect()
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.93
+
+
+def test_collocations_cut_texts_once_and_move_packed_counts(spark, docs):
+    rows = made(3)
+    table = spark.createDataFrame(rows, docs.schema).filter("text IS NOT NULL").selectExpr("coalesce(lang, 'und') lang", "text", "pmod(hash(text), 2) shard")
+    cut = collocations._numbered(table.repartition(3), 4, 70, 2).cache()
+    want, got = Counter(), Counter()
+    for _, text, lang, *_ in rows:
+        want.update(("und" if lang is None else lang, w) for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower(text)) for w in re.findall(r"[^\x20\x09]+", piece))
+    blocks, hashes = cut.collect(), {}
+    for r in blocks:
+        ids, lang_of = (np.frombuffer(r[c], np.int32) for c in ("ids", "lang_of"))
+        assert len(ids) == r["size"] + 4 and r["size"] <= 70
+        words = bytes(r["words"]).split(b" ")
+        for i in ids[: r["size"]][ids[: r["size"]] > 0]:
+            got[r["langs"][lang_of[i]], words[i].decode()] += 1
+        for i, h in enumerate(np.frombuffer(r["hashes"], np.uint64)):
+            assert hashes.setdefault((lang_of[i] >= 0 and r["langs"][lang_of[i]], words[i]), h) == h
+    assert got == want and len(set(hashes.values())) == len(hashes)
+    # a scan sends a row for each block and bucket, not one for each phrase; sums part at the threshold
+    packed = collocations._scan(cut, spark.sparkContext.broadcast((None, None)), 4, 3)
+    assert packed.count() <= 8 * len(blocks) < sum(want.values())
+    sums = collocations._merged(packed, 100).collect()
+    often, rare = (np.concatenate([np.frombuffer(r[c], np.int64) for r in sums]) for c in ("n", "rare_n"))
+    assert sorted([*often, *rare]) == sorted(want.values()) and often.min() >= 100 > rare.max()
