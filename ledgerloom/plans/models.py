@@ -51,9 +51,9 @@ FILL_ZERO = (
 ENCODED = ("mcc", "merchant_id")
 SERVING_THRESHOLD = 0.35
 MISSING = -1.0
-# rows of a block of binned rows, and blocks of one task
-BLOCK_ROWS = 10_000
-LEAST_BLOCKS, MOST_BLOCKS = 8, 64
+# rows of a block of binned rows, and of one task
+BLOCK_ROWS = 20_000
+LEAST_ROWS, MOST_ROWS = 40_000, 2_000_000
 
 
 def prepare_features(df: DataFrame) -> DataFrame:
@@ -218,16 +218,15 @@ def fit_focal(
     features, spark = list(features), rows.sparkSession
     ready = filled(rows, features)
     inputs = assembler(features).fit(ready.filter("split = 'train'"))
-    vectors = inputs.transform(ready).select("features", "label", "split")
-    cut = trees.binning(vectors.filter("split = 'train'"))
+    cut = trees.binning(ready.filter("split = 'train'"), inputs)
     ship(spark)
     keep_checkpoints(spark)
-    known = vectors.filter("split IN ('train', 'val')").withColumn("learnt", F.col("split") == "train")
+    known = ready.filter("split IN ('train', 'val')").withColumn("learnt", F.col("split") == "train")
     with batch_rows(spark, BLOCK_ROWS):
-        staged, place = stage_at(trees.binned(known, cut), "boost")
-    many, parallel = staged.count(), spark.sparkContext.defaultParallelism
-    # a task has a few blocks at least, since every task sends its sums, and a bounded number at most
-    tasks = max(1, min(parallel, many // LEAST_BLOCKS), many // MOST_BLOCKS)
+        staged, place = stage_at(trees.binned(known, inputs, cut), "boost")
+    many, parallel = staged.agg(F.sum("n")).first()[0], spark.sparkContext.defaultParallelism
+    # a task has some rows at least, since every task sends its sums, and a bounded number at most
+    tasks = max(1, min(parallel, many // LEAST_ROWS)) * max(1, -(-many // (parallel * MOST_ROWS)))
     at = trees.blocks(staged, tasks).persist(StorageLevel.MEMORY_AND_DISK)
     model, grown, kept = FocalModel(inputs, features, rate), [], None
     root, _, _ = trees.first_sums(at, cut, _focal_terms, _focal_losses)

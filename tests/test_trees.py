@@ -64,3 +64,29 @@ def test_edges_of_many_values_share_the_rows():
     assert np.diff(np.searchsorted(edges, values)).max() == 1
     assert np.bincount(np.searchsorted(edges, values)).max() <= 10_000 / trees.BINS + 2
     assert trees._edges(np.array([1.0, 1.0, 4.0])).tolist() == [2.5]
+
+
+def test_features_that_share_a_code_keep_their_bins():
+    rng = np.random.default_rng(3)
+    edges = [np.arange(63.0), np.array([0.5]), np.array([0.5]), np.zeros(0), np.array([1.0, 2.0])]
+    cut = trees.Binning([*edges, np.zeros(0)], [0, 0, 0, 0, 0, 4])
+    values = np.column_stack([rng.integers(0, 70, 500), *rng.integers(0, 2, (2, 500)), np.zeros(500), rng.integers(0, 4, (2, 500)).T])
+    assert len(cut.bundles) == 2 and sorted(f for b in cut.bundles for f in b) == list(range(6))
+    codes, weight = cut.codes(values.astype(float)), rng.random(500)
+    sums = np.stack([np.bincount(c, weight, trees.CODES) for c in codes])[:, None]
+    got = cut.apart(cut.parted(sums)[None])[0, 0]
+    for f in range(6):
+        bins = values[:, f].astype(int) if f == 5 else np.searchsorted(cut.edges[f], values[:, f], "left")
+        assert got[f] == pytest.approx(np.bincount(bins, weight, trees.BINS))
+
+
+def test_few_tasks_leave_no_shuffle_files_in_a_round(spark, rows):
+    """Sums of a pass go to the driver, not through a shuffle whose files stay on disk."""
+    at = spark.sparkContext.parallelize([(np.zeros((1, 5), np.uint8), np.ones(5, np.float32), np.zeros(5), 3)] * 8, 8)
+    cut, tracker = trees.Binning([np.array([0.5])], [0]), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("pass", "")
+    root, lost, n = trees.first_sums(at, cut, lambda label, raw: (label, label), lambda label, raw: label)
+    (job,) = tracker.getJobIdsForGroup("pass")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobInfo(job).stageIds) == 1
+    assert root[:, 0, 0, 0].tolist() == [24, 24, 24] and (lost, n) == (16, 16)
