@@ -1064,7 +1064,10 @@ def score_padding(t: Tables) -> DataFrame:
 
 
 def _training_rows(t: Tables) -> DataFrame:
-    return stage(models.training_rows(t.mart(), t.labels, TIME_ORDER), "training")
+    # the mart's other columns are neither a feature nor asked for
+    mart = t.mart()
+    wanted = dict.fromkeys([*TIME_ORDER, *models.ENCODED, *[f for f in models.FRAUD_FEATURES if f in mart.columns]])
+    return models.training_rows(mart.select(*wanted), t.labels, TIME_ORDER)
 
 
 _fitted: dict[tuple[str, str], tuple[models.FocalModel, DataFrame]] = {}

@@ -71,7 +71,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def stage_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Like `stage`, with the path of the copy, for loops that discard it later."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)  # whose shuffle files nothing else reads
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -107,12 +108,16 @@ def ship(spark: SparkSession) -> None:
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Another size of Arrow batches for the jobs started inside, for tables of narrow rows."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """Another value of a setting for the jobs started inside."""
     before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def batch_rows(spark: SparkSession, rows: int):
+    """Another size of Arrow batches for the jobs started inside, for tables of narrow rows."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
