@@ -1082,6 +1082,11 @@ def _fraud_model(t: Tables) -> tuple[models.FocalModel, DataFrame]:
     return _fitted[place]
 
 
+def _encoding_rows(t: Tables) -> DataFrame:
+    """Labels and the columns to encode of the labelled rows, staged: every table and mean of the encodings reads them."""
+    return stage(t.labelled.select(*models.ENCODED, F.col("is_fraud").alias("label")), "encoding-rows")
+
+
 def _stated(scored: DataFrame, *columns: str) -> DataFrame:
     """What can be said of any model's scores: they are probabilities, and the flag follows from them."""
     p = F.col("probability")
@@ -1132,7 +1137,7 @@ def feature_importance(t: Tables) -> DataFrame:
 def score_requests(t: Tables) -> DataFrame:
     """Scoring requests answered by the focal model at the serving threshold."""
     model, _ = _fraud_model(t)
-    train = t.labelled.withColumnRenamed("is_fraud", "label")
+    train = _encoding_rows(t)
     rows = models.with_encodings(models.request_features(_valid_requests(t)), train, TIME_ORDER, False)
     return _stated(model.score(models.padded(rows, models.FRAUD_FEATURES)), "transaction_id")
 
@@ -1143,7 +1148,7 @@ def stream_score(t: Tables) -> DataFrame:
     base = scratch_path(t.spark, "stream-score")
     _raw_requests(t).write.parquet(f"{base}/requests")
     model, _ = _fraud_model(t)
-    train = t.labelled.withColumnRenamed("is_fraud", "label")
+    train = _encoding_rows(t)
     tables = [stage(encoding.encoding_table(train, c, "label"), "encoding") for c in models.ENCODED]
     mean = train.agg(F.avg("label")).first()[0]
 
